@@ -1,9 +1,12 @@
-"""All registered queries: name to function and to oracle SQL."""
+"""All registered queries: name to function, and to SQL that gives the same rows."""
+
+from millrace.plans import relational, streams, windows  # noqa: F401  (they register their queries)
+from millrace.plans.base import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

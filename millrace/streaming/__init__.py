@@ -1 +1,110 @@
+"""Streams: watermarks, windows, joins, top-N and late data on Structured Streaming."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.operators import relational as R
+
+
+def with_event_time(df: DataFrame, millis: str = "ts", into: str = "et", delay: str | None = "0 seconds") -> DataFrame:
+    """Event time from epoch milliseconds, with a watermark that is `delay` behind the latest (None: no watermark)."""
+    out = df.withColumn(into, F.timestamp_millis(F.col(millis)))
+    return out if delay is None else out.withWatermark(into, delay)
+
+
+def bounded(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """What a stream over bounded input gives, as a table: runs it over all that is there and returns the rows."""
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def window_counts(df: DataFrame, time: str, size: str, keys: list[str], slide: str | None = None) -> DataFrame:
+    w = F.window(time, size, slide) if slide else F.window(time, size)
+    g = df.groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
+
+
+def dedup_first(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key within the watermark's delay."""
+    return df.dropDuplicatesWithinWatermark(keys)
+
+
+def top_n_batches(n: int, order: list[Column | str], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch over closed window counts: the first n of each window go to write."""
+    return lambda df, k: write(R.top_n(df, ["window_start", "window_end"], order, n), k)
+
+
+def lookup_batches(dimension: Callable[[], DataFrame], key: str, dimension_key: str, write: Callable[[DataFrame, int], None], how: str = "inner") -> Callable[[DataFrame, int], None]:
+    """foreachBatch: each micro-batch joins the dimension as it then is (see sources.Lookup)."""
+    return lambda df, k: write(R.lookup_join(df, dimension(), key, dimension_key, how), k)
+
+
+def control_batches(control: Callable[[], DataFrame], default: str, write: Callable[[DataFrame, int], None], column: str = "mode") -> Callable[[DataFrame, int], None]:
+    """foreachBatch: every row with the latest value of a one-row control table, `default` while it is empty."""
+
+    def run(df: DataFrame, k: int) -> None:
+        latest = control().select(F.col(column).cast("string").alias(column)).limit(1)
+        one = latest.agg(F.coalesce(F.first(column), F.lit(default)).alias(column))
+        write(df.crossJoin(F.broadcast(one)), k)  # one row
+
+    return run
+
+
+class LateData:
+    """Tumbling counts with allowed lateness and a late side output, over micro-batches.
+
+    Keeps its own watermark (latest event time - delay, both in milliseconds) and the counts of open windows
+    in two tables under `state`, one folder per batch, so a replayed batch gives the same rows again:
+
+    * a row is late if its window's end + lateness is not after the watermark before the batch;
+    * others are added to their windows;
+    * a window is emitted once the watermark reaches its end, and again when a later row changes it;
+    * windows whose end + lateness has passed are dropped from the state.
+
+    late(df, batch) gets late rows, emit(df, batch) rows (window_start, window_end, keys, n) in milliseconds.
+    Spark's own watermark drops late rows before any operator sees them, so the stream must have none.
+    """
+
+    def __init__(self, state: str, time: str, keys: list[str], size: int, delay: int, lateness: int, emit: Callable, late: Callable):
+        self.state, self.time, self.keys, self.size, self.delay, self.lateness, self.emit, self.late = state, time, keys, size, delay, lateness, emit, late
+
+    def _before(self, spark: SparkSession, batch: int) -> tuple[int | None, DataFrame | None]:
+        if batch == 0:
+            return None, None
+        at = f"{self.state}/{batch - 1}"
+        wm = spark.read.parquet(f"{at}/watermark").first()[0]
+        return wm, spark.read.parquet(f"{at}/open")
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        before, open_ = self._before(spark, batch)
+        start = F.col(self.time) - F.pmod(F.col(self.time), F.lit(self.size))
+        rows = df.withColumns({"window_start": start, "window_end": start + self.size}).persist()
+        try:
+            passed = F.lit(before) if before is not None else F.lit(None).cast("bigint")
+            is_late = F.coalesce(F.col("window_end") + self.lateness <= passed, F.lit(False))
+            self.late(rows.filter(is_late).drop("window_start", "window_end"), batch)
+            latest = rows.agg(F.max(self.time)).first()[0]
+            now = max((x for x in (before, None if latest is None else latest - self.delay) if x is not None), default=None)
+            fresh = rows.filter(~is_late).groupBy("window_start", "window_end", *self.keys).agg(F.count(F.lit(1)).alias("n")).withColumn("changed", F.lit(True))
+            every = fresh
+            if open_ is not None:
+                every = fresh.unionByName(open_.withColumn("changed", F.lit(False)))
+            every = every.groupBy("window_start", "window_end", *self.keys).agg(F.sum("n").alias("n"), F.bool_or("changed").alias("changed"), F.bool_or(~F.col("changed") & (F.col("window_end") <= passed)).alias("given")).persist()
+            try:
+                upto = F.lit(now) if now is not None else F.lit(None).cast("bigint")
+                due = (F.col("window_end") <= upto) & (F.col("changed") | ~F.coalesce("given", F.lit(False)))
+                self.emit(every.filter(due).select("window_start", "window_end", *self.keys, "n"), batch)
+                at = f"{self.state}/{batch}"
+                stays = F.coalesce(F.col("window_end") + self.lateness > upto, F.lit(True))
+                every.filter(stays).select("window_start", "window_end", *self.keys, "n").write.mode("overwrite").parquet(f"{at}/open")
+                spark.createDataFrame([(now,)], "watermark bigint").write.mode("overwrite").parquet(f"{at}/watermark")
+            finally:
+                every.unpersist()
+        finally:
+            rows.unpersist()
