@@ -40,8 +40,8 @@ def fed(spark, d, last: bool = True) -> DataFrame:
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
 
-def collected(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
-    return T.bounded(spark, stream, f"m_{uuid.uuid4().hex}", scratch(spark), mode)
+def collected(spark, stream: DataFrame, mode: str = "append", clock: bool = False) -> DataFrame:
+    return T.bounded(spark, stream, f"m_{uuid.uuid4().hex}", scratch(spark), mode, clock)
 
 
 def ntz(df: DataFrame, *names: str) -> DataFrame:
@@ -485,7 +485,7 @@ def t18_stream_running(spark, d):
 @query(f"SELECT id, ts, CAST(sum(vc) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({SENSOR_SQL})")
 def t19_stream_ttl(spark, d):
     """With an hour to live nothing is forgotten in a short run."""
-    return collected(spark, P.keyed(sensor_stream(spark, d), ["id"], P.ExpiringTotal(3_600_000), P.ExpiringTotal.SCHEMA, time="processingtime"))
+    return collected(spark, P.keyed(sensor_stream(spark, d), ["id"], P.ExpiringTotal(3_600_000), P.ExpiringTotal.SCHEMA, time="processingtime"), clock=True)
 
 
 @query(f"SELECT DISTINCT id, ts + 5000 AS at FROM ({SENSOR_SQL})")

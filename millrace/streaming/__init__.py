@@ -16,10 +16,21 @@ def with_event_time(df: DataFrame, millis: str = "ts", into: str = "et", delay:
     return out if delay is None else out.withWatermark(into, delay)
 
 
-def bounded(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What a stream over bounded input gives, as a table: runs it over all that is there and returns the rows."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def bounded(spark: SparkSession, stream: DataFrame, name: str, checkpoint: str, mode: str = "append", clock: bool = False) -> DataFrame:
+    """What a stream over bounded input gives, as a table: runs it over all that is there and returns the rows.
+
+    clock: the stream has processing-time state or timers, for which Spark would run empty batches for ever;
+    they are switched off for it, so it ends with its input.
+    """
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    if clock:
+        spark.conf.set(idle, "false")
+    try:
+        q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(idle, before)
     return spark.table(name)
 
 
