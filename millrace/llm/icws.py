@@ -26,7 +26,8 @@ from millrace.llm.common import body, checkpoint, parts, ship
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 TABLE_BITS, TABLE_BLOCKS = 18, 64
-COMMON = 0.1
+#: A group of near copies may hold a third of all rows; its own shingles must not weigh less than what sets a copy apart.
+COMMON = 0.4
 POOL_BITS = 14
 #: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers.
 CHUNK, SHARED, MEMORY_WORDS = 512, 8, 200_000

@@ -1,0 +1,382 @@
+"""The training-data operators against brute force, on small frames with nulls, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from compare import database, differences
+from pyspark.sql import functions as F
+
+from millrace import llm
+from millrace.llm import chat_pairs, exact, graph, icws, langid, line_spread, mixing, piece_codec, repeats, secret_forest, winnow
+
+ODD = ["", None, " ", "  a", " a b ", "▁x", "a\n\nb", "\x00a", "a\tb", "é€😀́", "ﬁ", "A　b", "<s>", "<0x0A>", "a    b      c" + " " * 37 + "d", "hahahahahaha", "\n \n  \n", "x" * 1000, " " * 999]
+CLASH = "_x_id string, _n_id string, row string, text string, doc_id bigint, source string, lang string, id string"
+
+
+def docs(spark, texts, sources=None, langs=None, ids=None):
+    rows = [("q", "q", "q", t, (ids or range(len(texts)))[i], (sources or ["s0"] * len(texts))[i], (langs or ["en"] * len(texts))[i], "q") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, CLASH).coalesce(2)
+
+
+def sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+def prose(rng, n, words=("the", "and", "of", "to", "in", "is", "that", "for", "it", "was", "on", "are", "as", "with", "his", "they", "at", "be", "this", "have")):
+    return " ".join(rng.choice(words) + str(rng.randint(0, 30)) for _ in range(n))
+
+
+# ---- 1
+
+
+def test_encoding_is_the_librarys(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    alphabet = list("abethings.1 \n\t▁é漢字😀") + [" "] * 3
+    texts = ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    got = {r.doc_id: r for r in piece_codec.transcode(docs(spark, texts), piece_codec.default_model(), digests=True).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "", add_bos=True, add_eos=True)
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].decoded == sp.decode(ids)
+        assert got[i].ids_sha256 == sha(np.array(ids, "<u4").tobytes()) and got[i].decoded_sha256 == sha(sp.decode(ids).encode())
+    v = piece_codec.Vocabulary(piece_codec.default_model())
+    flat = np.random.default_rng(0).integers(0, 400, (200, 9))
+    assert [x.decode() for x in v.decode(flat.ravel(), np.arange(9, flat.size + 1, 9))] == [sp.decode(r.tolist()) for r in flat]
+
+
+# ---- 2
+
+
+def brute_fingerprint(text, k=winnow.K, w=winnow.W):
+    import re
+    import struct
+
+    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")  # what \S means in Java
+    h = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in tokens]
+    grams = []
+    for i in range(max(1, len(h) - k + 1) if h else 0):
+        seed = 42
+        for x in h[i : i + k]:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed=seed)
+        grams.append((seed >> winnow.PLACE_BITS, i))
+    signed = lambda x: x - (1 << 40) if x >= 1 << 39 else x
+    chosen = []
+    for i in range(max(1, len(grams) - w + 1) if grams else 0):
+        best = min(grams[i : i + w], key=lambda g: (signed(g[0]), -g[1]))
+        if best not in chosen:
+            chosen.append(best)
+    return chosen
+
+
+def test_fingerprints(spark):
+    rng = random.Random(2)
+    texts = ODD + [prose(rng, rng.randint(1, 60)) for _ in range(40)]
+    texts += [texts[-1], "same " * 40]
+    for r in winnow.fingerprints(docs(spark, texts)).collect():
+        want = brute_fingerprint(texts[r.doc_id])
+        assert list(zip(r.hashes, r.places, strict=True)) == want
+    order = list(range(len(texts)))[::-1]
+    got = {r.doc_id: r for r in winnow.edited(docs(spark, texts)).collect()}
+    sets = {i: {h for h, _ in brute_fingerprint(t)} for i, t in enumerate(texts)}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for n, i in enumerate(order):
+        t, nxt = texts[i] or "", texts[order[(n + 1) % len(order)]] or ""
+        new = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == sha(new.encode())
+        assert got[i].near_next == pytest.approx(like(sets[i], sets[order[(n + 1) % len(order)]]))
+        assert got[i].near_edited == pytest.approx(like(sets[i], {h for h, _ in brute_fingerprint(new)}))
+
+
+def test_shared_run_is_found():
+    rng = random.Random(3)
+    run = prose(rng, winnow.W + winnow.K, ("aa", "bb"))
+    a, b = brute_fingerprint(prose(rng, 30) + " " + run + " x"), brute_fingerprint("y " + run + " " + prose(rng, 30))
+    assert {h for h, _ in a} & {h for h, _ in b}
+
+
+# ---- 3
+
+
+def test_preferences(spark):
+    kind = "conv_id bigint, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, prompt string"
+    u, a, b = ("user", "q"), ("assistant", "yes"), ("assistant", None)
+    df = spark.createDataFrame([(1, [u, a], [u, b], "x"), (2, [u], [u], "x"), (3, None, [u], "x"), (None, [a], [u], "x")], kind)
+    got = {r.conv_id: r for r in chat_pairs.format_pairs(df).collect()}
+    assert got[1].n_prompt_turns == 1 and got[1].prompt == "<|user|>\nq<|end|>\n"
+    assert [tuple(p) for p in got[1].chosen] == [("<|assistant|>\n", False), ("yes<|end|>\n", True)]
+    assert [tuple(p) for p in got[1].rejected] == [("<|assistant|>\n", False), ("<|end|>\n", True)]
+    assert got[2].chosen == [] and got[2].rejected == [] and got[3].prompt == "" and got[3].chosen == []
+    assert got[None].n_prompt_turns == 0 and [p.learn for p in got[None].rejected] == [False, False]
+
+
+# ---- 4
+
+
+def test_line_spread(spark):
+    rng = random.Random(4)
+    lines = [f"line {k}" for k in range(12)]
+    texts, sources = [], []
+    for k in range(60):
+        texts.append("\n".join(rng.choice(["", " ", *lines, " line 0 "]) for _ in range(rng.randint(0, 6))))
+        sources.append(rng.choice(["a", "b", "c", "d", None]))
+    texts[5] = None
+    on = collections.defaultdict(set)
+    for t, s in zip(texts, sources, strict=True):
+        for line in (t or "").split("\n"):
+            on[line.strip()].add(s)
+    bad = {line for line, s in on.items() if line and len(s - {None}) >= 4}
+    got = {r.doc_id: r for r in line_spread.remove_lines(docs(spark, texts, sources), sites=4).collect()}
+    for i, t in enumerate(texts):
+        all_ = (t or "").split("\n")
+        kept = [x for x in all_ if x.strip() not in bad]
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept_text) == (len(all_), len(all_) - len(kept), "\n".join(kept))
+
+
+# ---- 5
+
+
+def test_secrets(spark):
+    forest = secret_forest.train(secret_forest.made_findings(spark, 1200))
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'it was token = "{key}" of the', "Schpfgegebeungerheit und Eserertiontionin", "the 4785380592391139 of", None, "", "x" * 3000, "FUNCTIONALITYOFWORDS and"]
+    got = secret_forest.scan(docs(spark, texts), forest).collect()
+    assert [(r.doc_id, r.candidate) for r in got if r.is_secret] == [(0, key)]
+    assert all(0 <= r.score <= 1 for r in got) and secret_forest.train(secret_forest.made_findings(spark, 0)) == []
+
+
+def test_forest_held_out(spark):
+    found = secret_forest.made_findings(spark, 2000).withColumn("fold", F.pmod(F.xxhash64("candidate"), F.lit(4)))
+    forest = secret_forest.train(found.filter("fold <> 0"))
+    names = [f"f{i}" for i in range(len(secret_forest.FEATURES))]
+    cols = [F.col(c) for c in ("candidate", "token", "before", "before2", "after", "path")]
+    test = found.filter("fold = 0").select("label", *(f.alias(n) for f, n in zip(secret_forest.features(*cols), names, strict=True)))
+    right = test.agg(F.avg(((secret_forest.voted(forest, names) >= 0.5) == (F.col("label") == 1)).cast("int"))).first()[0]
+    assert right > 0.95
+
+
+# ---- 6
+
+
+def similar(a, b):
+    def shingles(t):
+        w = t.lower().split()
+        return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    x, y = shingles(a), shingles(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_near_dedup(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [prose(rng, rng.randint(60, 150)) for _ in range(12)]
+    texts = list(base)
+    for k in range(60):
+        w = rng.choice(base).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"new{k}"
+        texts.append(" ".join(w))
+    texts += ["", None, "a b", "a b", base[0]]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = texts[i] or "", texts[j] or ""
+        if a == b or (a and b and similar(a, b) >= 0.8):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = [find(i) for i in range(len(texts))]
+    for chunk in (512, 3):  # small chunks use the search for large buckets
+        monkeypatch.setattr(icws, "CHUNK", chunk)
+        got = {r.doc_id: r for r in icws.classes(docs(spark, texts)).collect()}
+        assert [got[i].class_id for i in range(len(texts))] == want
+        assert all(got[i].class_size == want.count(want[i]) and got[i].kept == (want[i] == i) for i in range(len(texts)))
+    assert icws.keep_one(docs(spark, texts)).columns == docs(spark, texts).columns
+
+
+def test_components(spark):
+    rng = random.Random(7)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 330)] + [(5, 5)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert all(got.get(x, x) == find(x) for x in parent)
+
+
+# ---- 7
+
+
+def test_mixing(spark):
+    rng = random.Random(8)
+    texts = [None, "", *(prose(rng, rng.randint(1, 40)) for _ in range(400))]
+    sources = [rng.choice(["b", "a", "é", None, "c"]) if rng.random() > 0.4 else "b" for _ in texts]
+    got = {r.doc_id: r for r in mixing.mix(docs(spark, texts, sources)).collect()}
+    size = [len((t or "").split()) for t in texts]
+    names = sorted({s for s in sources if s is not None}) + [None]
+    total = {s: sum(n for n, x in zip(size, sources, strict=True) if x == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    goal, left, open_ = {}, 1.5 * sum(size), set(names)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * total[s] <= level * weight[s]}
+        if not full:
+            break
+        for s in full:
+            goal[s] = 2 * total[s]
+            left -= goal[s]
+        open_ -= full
+    goal |= {s: level * weight[s] for s in open_}
+    for i, s in enumerate(sources):
+        assert got[i]["size"] == size[i] and got[i].source_size == total[s]
+        assert got[i].target == pytest.approx(goal[s]) and got[i].taken in (0, size[i], 2 * size[i])
+    for s in names:
+        assert abs(sum(got[i].taken for i, x in enumerate(sources) if x == s) - goal[s]) <= 2 * max(size)
+    assert sum(r.taken for r in got.values()) <= 1.5 * sum(size)
+    again = {r.doc_id: r.taken for r in mixing.mix(docs(spark, texts, sources).repartition(3)).collect()}
+    assert again == {i: r.taken for i, r in got.items()}
+    assert mixing.take(docs(spark, texts, sources)).count() == sum(r.times for r in got.values())
+
+
+# ---- 8
+
+
+def test_language_id(spark):
+    rng = random.Random(9)
+    pools = {"xx": "ka ri mo ta ne shi".split(), "yy": "schl ung eit ber ver".split(), "zz": "eau oux tre ié la".split()}
+    texts, langs = [], []
+    for k in range(240):
+        lang = rng.choice(sorted(pools))
+        texts.append(" ".join("".join(rng.choice(pools[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 40))))
+        langs.append(lang if k % 10 else None)
+    truth = [x for x in langs]
+    texts += [None, "", "123 !!"]
+    langs += [None, "xx", "yy"]
+    df = docs(spark, texts, langs=langs)
+    model = langid.fit(df)
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in range(240, 243))
+    known = [i for i in range(240) if truth[i]]
+    assert sum(got[i].lang_pred == truth[i] for i in known) / len(known) > 0.95
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns and 200 < kept.count() <= 240
+    assert langid.fit(df.filter("lang = 'none'")) is None
+    assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
+
+
+def test_language_id_held_out(spark, sf):
+    import zlib
+
+    got = llm.queries()["op8_language_id"](spark, sf).collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
+
+
+# ---- 9
+
+
+def brute_removal(texts, length, first):
+    count, where = collections.Counter(), {}
+    for r, b in enumerate(texts):
+        for p in range(len(b) - length + 1):
+            count[b[p : p + length]] += 1
+            where.setdefault(b[p : p + length], (r, p))
+    out = []
+    for r, b in enumerate(texts):
+        m = np.zeros(len(b) + 2, bool)
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if (count[w] > 1 and not first) or (first and where[w] != (r, p)):
+                m[p + 1 : p + length + 1] = True
+        out.append((len(b), int(m.sum()), int((m[1:] & ~m[:-1]).sum()), sha(bytes(np.frombuffer(b, np.uint8)[~m[1:-1]]))))
+    return out
+
+
+def test_longest_previous_factor():
+    x = b"abracadabra" * 3 + b"aaaa"
+    want = [max([0] + [k for k in range(1, len(x) - i + 1) if any(x[j : j + k] == x[i : i + k] for j in range(i))]) for i in range(len(x))]
+    assert repeats.longest_previous(x).tolist() == want and repeats.longest_previous(b"").size == 0
+
+
+@pytest.mark.parametrize("length,gram,large", [(40, 8, 2048), (40, 16, 3), (30, 5, 2)])
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup(spark, length, gram, large, keep):
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    base = [some(rng.randint(0, 120)) for _ in range(8)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 20) :] for _ in range(rng.randint(0, 4))) + some(rng.randint(0, 30)) for _ in range(60)]
+    texts += ["", None, "a" * 300, "ab" * 100, texts[3], texts[3], texts[5]]
+    want = brute_removal([(t or "").encode() for t in texts], length, keep == "first")
+    got = {r.doc_id: r for r in repeats.remove(docs(spark, texts).coalesce(1), length=length, gram=gram, keep=keep, large=large).collect()}
+    for i, w in enumerate(want):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w
+        assert sum(b - a for a, b in got[i].removed) == w[1]
+
+
+# ---- 10
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+@pytest.mark.parametrize("hash_of", [exact.md5_128, lambda t: F.length(t) % 3])
+def test_exact_dedup(spark, keep, hash_of):
+    texts = ["a", "a", None, "", "b", "abcd", "dcba", "a", "é"]
+    ids = [5, 3, 7, 1, None, 2, 8, 5, None]
+    df = docs(spark, texts, ids=ids)
+    got = exact.classes(df, keep=keep, hash_of=hash_of).collect()
+    best = max if keep == "largest" else min
+    for text in {t or "" for t in texts}:
+        own = [r for r in got if r.text_sha256 == sha(text.encode())]
+        of = [i for i, t in zip(ids, texts, strict=True) if (t or "") == text]
+        assert len(own) == len(of) and all(r.group_size == len(of) for r in own)
+        assert {r.keep_id for r in own} == {best([i for i in of if i is not None], default=None)}
+        assert sum(r.kept for r in own) == 1 and all(r.doc_id == r.keep_id for r in own if r.kept)
+    kept = exact.dedup(df, keep=keep, hash_of=hash_of)
+    assert kept.columns == df.columns and kept.count() == len({t or "" for t in texts})
+
+
+# ---- all
+
+
+def test_empty_tables(spark):
+    empty = docs(spark, [])
+    for df in (piece_codec.transcode(empty, piece_codec.default_model()), winnow.edited(empty), line_spread.remove_lines(empty), icws.classes(empty), mixing.mix(empty), langid.keep_known(empty), repeats.remove(empty), exact.classes(empty)):
+        assert df.count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_oracle(spark, sf, name):
+    assert differences(spark, sf, llm.queries()[name], llm.oracle_sql()[name], database(sf)) == ""
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert 0 < got.count() <= 2 * source.count()
+    # stage by stage, on its own input
+    kept = corpus_pipeline.language_id(spark, source, sf)
+    assert kept.columns == source.columns and kept.count() >= 0.98 * source.count()
+    once = corpus_pipeline.exact_dedup(spark, source, sf)
+    assert once.columns == source.columns and once.count() == source.select("text").distinct().count()
