@@ -30,7 +30,7 @@ TABLE_BITS, TABLE_BLOCKS = 18, 64
 COMMON = 0.4
 POOL_BITS = 14
 #: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers.
-CHUNK, SHARED, MEMORY_WORDS = 512, 8, 200_000
+CHUNK, SHARED, MEMORY_WORDS = 256, 8, 200_000
 BLOCK_CHARS = 1 << 20
 U = np.uint64
 
