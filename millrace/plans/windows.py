@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from millrace.operators import windows as W
 from millrace.plans.base import events, query, sql_query
 
-N = [F.count(F.lit(1)).alias("n")]
+
+def rows_n() -> list:
+    return [F.count(F.lit(1)).alias("n")]
 
 
 def tumbled(size: str, keys: str = "", aggs: str = "count(*) AS n") -> str:
@@ -32,43 +34,43 @@ SELECT *, lag(ts) OVER ({part} ORDER BY ts) AS before FROM events)) GROUP BY {g}
 
 @query(tumbled("1 HOUR", "event_type"))
 def w1_tumble_keyed(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "1 hour"), "ts", ["event_type"], N)
+    return W.grouped(events(spark, d), F.window("ts", "1 hour"), "ts", ["event_type"], rows_n())
 
 
 @query(tumbled("5 HOUR"))
 def w2_tumble_all(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "5 hours"), "ts", [], N)
+    return W.grouped(events(spark, d), F.window("ts", "5 hours"), "ts", [], rows_n())
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 16:00:00') AS window_start, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01 16:00:00') + INTERVAL 1 DAY AS window_end, count(*) AS n FROM events GROUP BY ALL")
 def w3_tumble_offset(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "1 day", "1 day", "16 hours"), "ts", [], N)
+    return W.grouped(events(spark, d), F.window("ts", "1 day", "1 day", "16 hours"), "ts", [], rows_n())
 
 
 @query(hopped("10 HOUR", "5 HOUR", 2, "event_type"))
 def w4_hop_keyed(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "10 hours", "5 hours"), "ts", ["event_type"], N)
+    return W.grouped(events(spark, d), F.window("ts", "10 hours", "5 hours"), "ts", ["event_type"], rows_n())
 
 
 @query(hopped("10 HOUR", "5 HOUR", 2))
 def w5_hop_all(spark, d):
     """Processing-time windows are the same operator over the arrival time, which is given here as ts."""
-    return W.hop(events(spark, d), "ts", "10 hours", "5 hours").groupBy("window_start", "window_end").agg(*N)
+    return W.hop(events(spark, d), "ts", "10 hours", "5 hours").groupBy("window_start", "window_end").agg(*rows_n())
 
 
 @query(sessions("6 HOUR", "user_id"))
 def w6_session_keyed(spark, d):
-    return W.session(events(spark, d), "ts", "6 hours", ["user_id"], N)
+    return W.session(events(spark, d), "ts", "6 hours", ["user_id"], rows_n())
 
 
 @query(sessions("10 MINUTE"))
 def w7_session_all(spark, d):
-    return W.session(events(spark, d), "ts", "10 minutes", [], N)
+    return W.session(events(spark, d), "ts", "10 minutes", [], rows_n())
 
 
 @query("SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY user_id")
 def w8_global_window(spark, d):
-    return events(spark, d).groupBy("user_id").agg(*N, F.max("ts").alias("latest"))
+    return events(spark, d).groupBy("user_id").agg(*rows_n(), F.max("ts").alias("latest"))
 
 
 COUNTED = """SELECT user_id, CAST((k - 1) // 3 AS BIGINT) AS window_no, CAST(sum(v) AS BIGINT) AS total FROM (
@@ -112,22 +114,25 @@ def w12_rows_slide_full(spark, d):
 
 
 TOTAL = "CAST(sum(CAST(floor(value) AS INTEGER)) AS BIGINT) AS total"
-SUM = [F.sum(F.floor("value").cast("int")).alias("total")]
+
+
+def sum_v() -> list:
+    return [F.sum(F.floor("value").cast("int")).alias("total")]
 
 
 @query(tumbled("10 HOUR", "user_id", TOTAL))
 def w13_table_tumble(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "10 hours"), "ts", ["user_id"], SUM)
+    return W.grouped(events(spark, d), F.window("ts", "10 hours"), "ts", ["user_id"], sum_v())
 
 
 @query(hopped("10 HOUR", "5 HOUR", 2, "user_id", TOTAL))
 def w14_table_slide(spark, d):
-    return W.grouped(events(spark, d), F.window("ts", "10 hours", "5 hours"), "ts", ["user_id"], SUM)
+    return W.grouped(events(spark, d), F.window("ts", "10 hours", "5 hours"), "ts", ["user_id"], sum_v())
 
 
 @query(sessions("5 HOUR", "user_id"))
 def w15_table_session(spark, d):
-    return W.session(events(spark, d), "ts", "5 hours", ["user_id"], N)
+    return W.session(events(spark, d), "ts", "5 hours", ["user_id"], rows_n())
 
 
 sql_query("w16_sql_tumble", "SELECT window.start AS window_start, window.end AS window_end, user_id, sum(CAST(floor(value) AS INT)) AS total FROM events GROUP BY window(ts, '10 hours'), user_id", tumbled("10 HOUR", "user_id", TOTAL), ("events",))
@@ -148,12 +153,12 @@ def w20_tvf_hop(spark, d):
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR * k AS window_end, count(*) AS n
 FROM events, range(1, 5) r(k) WHERE ts < time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR * k GROUP BY ALL""")
 def w21_tvf_cumulate(spark, d):
-    return W.cumulate(events(spark, d), "ts", "6 hours", "1 day", 4).groupBy("window_start", "window_end").agg(*N)
+    return W.cumulate(events(spark, d), "ts", "6 hours", "1 day", 4).groupBy("window_start", "window_end").agg(*rows_n())
 
 
 @query(sessions("5 HOUR", "user_id"))
 def w22_tvf_session(spark, d):
-    return W.session(events(spark, d), "ts", "5 hours", ["user_id"], N).select("user_id", "window_start", "window_end", "n")
+    return W.session(events(spark, d), "ts", "5 hours", ["user_id"], rows_n()).select("user_id", "window_start", "window_end", "n")
 
 
 @query(tumbled("1 HOUR", "event_type", "max(event_id) AS last_id"))
@@ -174,7 +179,7 @@ def w25_window_reduce(spark, d):
 @query("""SELECT 'window [' || epoch_ms(s) || ',' || epoch_ms(s) + 28800000 || ') user ' || user_id || ' clicks ' || n AS line FROM (
 SELECT time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01') AS s, user_id, count(*) AS n FROM events GROUP BY ALL)""")
 def w26_full_window_function(spark, d):
-    g = W.grouped(events(spark, d), F.window("ts", "8 hours"), "ts", ["user_id"], N)
+    g = W.grouped(events(spark, d), F.window("ts", "8 hours"), "ts", ["user_id"], rows_n())
     ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
     return g.select(F.format_string("window [%d,%d) user %d clicks %d", ms("window_start"), ms("window_end"), "user_id", "n").alias("line"))
 
@@ -182,7 +187,7 @@ def w26_full_window_function(spark, d):
 @query("""SELECT s AS window_start, string_agg(event_type || '=' || n, ',' ORDER BY n DESC, event_type) AS counts FROM (
 SELECT time_bucket(INTERVAL 10 HOUR, ts, TIMESTAMP '1970-01-01') AS s, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY s""")
 def w27_full_window_all(spark, d):
-    g = W.grouped(events(spark, d), F.window("ts", "10 hours"), "ts", ["event_type"], N)
+    g = W.grouped(events(spark, d), F.window("ts", "10 hours"), "ts", ["event_type"], rows_n())
     rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "event_type", "n")))
     return g.groupBy("window_start").agg(F.array_join(F.transform(rows, lambda x: F.concat(x["event_type"], F.lit("="), x["n"].cast("string"))), ",").alias("counts"))
 
