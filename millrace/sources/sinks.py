@@ -63,7 +63,7 @@ class Upsert:
 
     add: names of columns that are added to the stored value (others overwrite it). A batch number is
     stored with each batch, in the same transaction, so a batch that is replayed after a failure is not
-    added twice. dialect: "merge" (standard MERGE: Derby, Postgres 15, Oracle, SQL Server) or "mysql".
+    added twice. dialect: "merge" (Derby, Postgres 15) or "mysql".
     The stored table has the frame's columns; the staging and batch tables are made if they are missing.
     """
 
@@ -84,18 +84,26 @@ class Upsert:
 
     def __call__(self, df: DataFrame, batch: int) -> None:
         staging, done = f"{self.name}_staging", f"{self.name}_batches"
-        jdbc = df.write.format("jdbc").options(url=self.url, dbtable=staging, truncate="false", **self.options)
         connection = jvm_jdbc.connect(df.sparkSession, self.url, self.options)
         try:
             if not jvm_jdbc.has_table(connection, done):
                 jvm_jdbc.run(connection, f"CREATE TABLE {done} (batch BIGINT)")
             if self.add and jvm_jdbc.one(connection, f"SELECT count(*) FROM {done} WHERE batch = {batch}"):
                 return
-            jdbc.mode("overwrite").save()
+            if jvm_jdbc.has_table(connection, staging):
+                jvm_jdbc.run(connection, f"DELETE FROM {staging}")
+            else:  # with the column types of the stored table
+                like = f"LIKE {self.name}" if self.dialect == "mysql" else f"AS SELECT * FROM {self.name} WITH NO DATA"
+                jvm_jdbc.run(connection, f"CREATE TABLE {staging} {like}")
+            df.write.format("jdbc").options(url=self.url, dbtable=staging, **self.options).mode("append").save()
             connection.setAutoCommit(False)
-            jvm_jdbc.run(connection, self.statement(df.columns, staging))
-            jvm_jdbc.run(connection, f"INSERT INTO {done} VALUES ({batch})")
-            connection.commit()
+            try:
+                jvm_jdbc.run(connection, self.statement(df.columns, staging))
+                jvm_jdbc.run(connection, f"INSERT INTO {done} VALUES ({batch})")
+                connection.commit()
+            except Exception:
+                connection.rollback()
+                raise
             connection.setAutoCommit(True)
         finally:
             connection.close()
