@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A candidate is a token with sixteen or more characters of the alphabets that keys are written in. Its
-length, character transitions, dictionary coverage, path and neighbouring words are built-in expressions,
-and so is the forest: each tree is a nested CASE. The trees are grown in numpy on the driver from labelled
+A candidate is a run of sixteen or more characters of the alphabets that keys are written in; a token may
+hold several, and the parts of name=value are judged apart. Its length, character transitions, dictionary
+coverage, path and neighbouring words are built-in expressions, and so is the forest: each tree is a nested CASE. The trees are grown in numpy on the driver from labelled
 findings, of which a bounded number is used.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import body
 
 CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
+#: Characters either side of a candidate, in its token, that are looked at.
+NEAR = 64
 TREES, DEPTH, LEAST_LEAF, FINDINGS = 15, 5, 5, 4000
 #: Words that names and placeholders are made of.
 DICTIONARY = ("example", "sample", "dummy", "change", "your", "test", "password", "secret", "token", "placeholder", "lorem", "ipsum", "default", "value", "string", "name", "user", "http", "https", "html", "class", "style", "config", "version", "license", "released", "under", "document", "function", "return", "import")
@@ -30,7 +32,7 @@ def features(candidate: Column, token: Column, before: Column, before2: Column,
     n = F.greatest(F.char_length(candidate), F.lit(1))
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     low = F.lower(candidate)
-    near = F.lower(F.concat_ws(" ", before2, before, token))
+    near = F.lower(F.concat_ws(" ", F.right(before2, F.lit(NEAR)), F.right(before, F.lit(NEAR)), token))
     covered = F.char_length(candidate) - F.char_length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     return [
         n.cast("double"),
@@ -102,14 +104,29 @@ def voted(forest: list, names: list[str]) -> Column:
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """One row per candidate: id, place (number of its token, from 0), token, candidate, the two words
-    before it, the word after it, path. Null text has none."""
+    """One row per candidate: id, place (number of its token, from 0), nth (number in its token, from 0),
+    token (the candidate with up to NEAR characters of its token either side), candidate, the two words
+    before its token, the word after it, path. Null text has none.
+
+    A run is divided at each = that is not at its end (padding), and its parts of sixteen or more characters
+    are candidates; a run without such a part is one as a whole.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.split(body(text_col), r"\s+").alias("t"))
     at = F.filter(F.transform("t", lambda w, i: F.when(F.length(w) >= 16, i)), lambda i: i.isNotNull())
     rows = rows.select("id", "path", "t", F.explode(at).alias("place"))
     word = lambda k: F.get("t", F.col("place") + k)
-    rows = rows.select("id", "path", "place", word(0).alias("token"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"))
-    return rows.withColumn("candidate", F.regexp_extract("token", CANDIDATE, 0)).filter("candidate <> ''")
+    rows = rows.select("id", "path", "place", word(0).alias("w"), word(-1).alias("before"), word(-2).alias("before2"), word(1).alias("after"))
+    # runs[i] stands between between[i] and between[i + 1]; neither array is carried into the rows of a long token
+    rows = rows.withColumns({"runs": F.regexp_extract_all("w", F.lit(CANDIDATE), F.lit(0)), "between": F.split("w", CANDIDATE, -1)}).filter(F.size("runs") > 0)
+    ahead = lambda i: F.concat(F.when(i > 0, F.right(F.get("runs", i - 1), F.lit(NEAR))).otherwise(""), F.get("between", i))
+    around = lambda r, i: F.concat(F.right(ahead(i), F.lit(NEAR)), r, F.left(F.get("between", i + 1), F.lit(NEAR)))
+
+    def parts(r: Column, i: Column) -> Column:
+        long = F.filter(F.split(r, "=+(?!=|$)"), lambda p: F.char_length(p) >= 16)
+        return F.transform(F.when(F.size(long) > 0, long).otherwise(F.array(r)), lambda p: F.struct(around(r, i).alias("token"), p.alias("candidate")))
+
+    found = F.flatten(F.transform("runs", parts))
+    return rows.select("id", "path", "place", "before", "before2", "after", F.posexplode(found).alias("nth", "f")).select("id", "path", "place", "nth", "f.token", "before", "before2", "after", "f.candidate")
 
 
 def scan(df: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", above: float = 0.5) -> DataFrame:
@@ -120,7 +137,7 @@ def scan(df: DataFrame, forest: list, id_col: str = "doc_id", text_col: str = "t
     cols = [F.col(c) for c in ("candidate", "token", "before", "before2", "after", "path")]
     rows = rows.select("*", *(f.alias(n) for f, n in zip(features(*cols), names, strict=True)))
     rows = rows.withColumn("score", F.round(voted(forest, names), 6))
-    return rows.select(F.col("id").alias(id_col), "place", "token", "candidate", "before", "after", "score", (F.col("score") >= above).alias("is_secret"))
+    return rows.select(F.col("id").alias(id_col), "place", "nth", "token", "candidate", "before", "after", "score", (F.col("score") >= above).alias("is_secret"))
 
 
 def made_findings(spark, n: int = 2000) -> DataFrame:
@@ -170,9 +187,18 @@ def made_findings(spark, n: int = 2000) -> DataFrame:
             rows.append((c, c, rng.choice(("commit", "sha1", "integrity", "checksum")), prose(), prose(), path, 0))
         else:
             rows.append((c, c + rng.choice(("", ".", ",")), prose(), prose(), prose(), path, 0))
+    rng = random.Random(12)
+    for k in range(n // 8):  # names of sixteen characters or more, which are candidates themselves, before keys in the same token
+        name = rng.choice(("AWS_SECRET_ACCESS_KEY", "AWS_ACCESS_KEY_ID", "password_for_service", "GITHUB_ACCESS_TOKEN", "client_secret_value", "authentication_token", "database_password")) + rng.choice(("", "", "_" + prose()))
+        key, quote = pick(low + up + digit + rng.choice(("", "+/")), 20, 48), rng.choice(('"', "'"))
+        left, sign = rng.choice((("", "="), (quote, quote + ":")))
+        path = rng.choice(("src1", "app/main.py", "config/prod.yml", None))
+        at, words = f"{left}{name}{sign}{quote}", (prose(), prose(), prose())
+        name += sign if sign == "=" else ""
+        rows.append((key, f"{at[-NEAR:]}{key}{quote}", *words, path, 1) if k % 2 else (name, at, *words, path, 0))
     return spark.createDataFrame(rows, "candidate string, token string, before string, before2 string, after string, path string, label int")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(made_findings(spark)))
-    return found.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), F.char_length("candidate").alias("n_chars"), "score", "is_secret")
+    return found.select("doc_id", "place", "nth", F.sha2("candidate", 256).alias("candidate_sha256"), F.char_length("candidate").alias("n_chars"), "score", "is_secret")

@@ -153,6 +153,22 @@ def test_secrets(spark):
     assert all(0 <= r.score <= 1 for r in got) and secret_forest.train(secret_forest.made_findings(spark, 0)) == []
 
 
+def test_every_candidate_of_a_token(spark):
+    rng = random.Random(6)
+    one, two, three = ("".join(rng.choice("abcdefghkmnpqrsuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789") for _ in range(40)) for _ in range(3))
+    name = "AWS_SECRET_ACCESS_KEY"
+    texts = [f"x {one},{two};{three} y", f'set {name}="{one}" here', f"set {name}={one} here", f'{{"token":"{one}","a":1,"{name}":"{two}"}}', f"{one}.{two}.{three}", f"token={one}==", one[:9] + "=" + one[9:17], None]
+    got = secret_forest.candidates(docs(spark, texts)).collect()
+    of = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.id, r.place, r.nth)):
+        of[r.id].append((r.place, r.nth, r.candidate))
+    numbered = lambda place, *c: [(place, k, x) for k, x in enumerate(c)]
+    assert of == {0: numbered(1, one, two, three), 1: numbered(1, name + "=", one), 2: numbered(1, name, one), 3: numbered(0, one, name, two), 4: numbered(0, one, two, three), 5: numbered(0, one + "=="), 6: numbered(0, texts[6])}
+    forest = secret_forest.train(secret_forest.made_findings(spark, 2000))
+    secrets = {(r.doc_id, r.candidate) for r in secret_forest.scan(docs(spark, texts[:4]), forest).collect() if r.is_secret}
+    assert secrets >= {(1, one), (2, one), (3, one), (3, two)} and not any(c.startswith(name) for _, c in secrets)
+
+
 def test_forest_held_out(spark):
     found = secret_forest.made_findings(spark, 2000).withColumn("fold", F.pmod(F.xxhash64("candidate"), F.lit(4)))
     forest = secret_forest.train(found.filter("fold <> 0"))
