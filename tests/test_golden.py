@@ -122,6 +122,20 @@ def test_changelog(spark):
     assert rows(K.changelog(a, b, ["k"])) == [("+I", "w", 9), ("+U", "y", 5), ("-D", "z", 3), ("-U", "y", 2)]
 
 
+def test_all_rows_come_through_the_custom_sink(spark, sf, monkeypatch):
+    from millrace.plans import streams
+
+    class Loses(K.RowWriter):
+        def process(self, row):
+            if row.event_id < 200:
+                self.invoke(row)
+
+    query = streams.k13_custom_sink
+    assert query(spark, sf).first().n == spark.read.parquet(f"{sf}/events.parquet").count() > 200
+    monkeypatch.setattr(streams.K, "RowWriter", Loses)
+    assert query(spark, sf).first().n == 200
+
+
 def test_ddl_parts():
     t = parse_table("""CREATE TABLE t1 (id STRING, vc INT, ts BIGINT, pt AS PROCTIME(), et AS TO_TIMESTAMP_LTZ(ts, 3),
       fs BIGINT METADATA FROM 'file.size', WATERMARK FOR et AS et - INTERVAL '2' SECOND, PRIMARY KEY (id) NOT ENFORCED)
