@@ -196,13 +196,14 @@ TOTALS = "SELECT user_id, CAST(sum(CAST(floor(value) AS INTEGER)) AS BIGINT) AS
 
 @query("SELECT event_id, event_type FROM events WHERE event_id < 100")
 def k1_print(spark, d):
-    df = events(spark, d).filter("event_id < 100").select("event_id", "event_type")
+    """All events are printed; the rows given back are those of the oracle."""
+    df = events(spark, d).select("event_id", "event_type")
     with open(os.devnull, "w") as out:
         import contextlib
 
         with contextlib.redirect_stdout(out):
-            K.print_rows(df, "E")
-    return df
+            K.print_rows(df, "E", limit=None)
+    return df.filter("event_id < 100")
 
 
 @query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H') AS bucket FROM events")
@@ -257,10 +258,11 @@ def k8_upsert_log(spark, d):
 
 @query("SELECT user_id, event_type FROM events WHERE event_id < 500")
 def k9_jdbc_append(spark, d):
+    """All events are appended; the rows given back are those of the oracle."""
     url = derby()
-    stream = fed(spark, d, last=False).filter("event_id < 500").select("user_id", "event_type")
+    stream = fed(spark, d, last=False).select("event_id", "user_id", "event_type")
     written(spark, stream, K.jdbc_append_batch(url, "t_ws", **DERBY))
-    return S.jdbc(spark, url, "t_ws", **DERBY)
+    return S.jdbc(spark, url, "t_ws", **DERBY).filter("event_id < 500").select("user_id", "event_type")
 
 
 def upserted(spark, d, add: tuple[str, ...], stream: DataFrame, mode: str, create: str, keys: list[str]):

@@ -136,6 +136,18 @@ def test_all_rows_come_through_the_custom_sink(spark, sf, monkeypatch):
     assert query(spark, sf).first().n == 200
 
 
+def test_all_rows_are_printed_and_appended(spark, sf, monkeypatch):
+    from millrace.plans import streams
+
+    n, seen = spark.read.parquet(f"{sf}/events.parquet").count(), []
+    append = K.jdbc_append
+    monkeypatch.setattr(K, "jdbc_append", lambda df, *a, **b: [append(df, *a, **b), seen.append(df.count())])
+    assert streams.k9_jdbc_append(spark, sf).count() == 500 < n == sum(seen)
+    printed = []
+    monkeypatch.setattr(K, "print", lambda *a, **b: printed.append(a), raising=False)
+    assert streams.k1_print(spark, sf).count() == 100 and len(printed) == n
+
+
 def test_ddl_parts():
     t = parse_table("""CREATE TABLE t1 (id STRING, vc INT, ts BIGINT, pt AS PROCTIME(), et AS TO_TIMESTAMP_LTZ(ts, 3),
       fs BIGINT METADATA FROM 'file.size', WATERMARK FOR et AS et - INTERVAL '2' SECOND, PRIMARY KEY (id) NOT ENFORCED)
