@@ -7,6 +7,8 @@ streams too. Count windows and OVER frames are for bounded input (streams: see s
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,9 +58,28 @@ def cumulate(df: DataFrame, time: str, step: str, size: str, steps: int) -> Data
     return df.withColumns({"window_start": F.col("_window.start").cast(kind), "window_end": F.col("_end").cast(kind)}).drop("_window", "_end")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df in files of spark.checkpoint.dir; where that is unset, as in tests on one machine, of a folder made here."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint(eager=True)
+
+
 def _numbered(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return df.withColumn("_n", F.row_number().over(spec.orderBy(*order)))
+    """df with _n, the number of a row in its key's order, from 1.
+
+    Without keys the numbers have two levels: the rows are dealt out by ranges of the order, a range's
+    rows are numbered inside it, and the counts of the ranges before it are added. No task has all rows.
+    """
+    if keys:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # dealt once: the counts and the rows have to be of the same ranges
+    dealt = _kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "_range").withColumn("_n", F.col("_n") + F.col("_start")).drop("_range", "_start")
 
 
 def count_tumble(df: DataFrame, keys: list[str], order: list, size: int, aggs: list[Column]) -> DataFrame:

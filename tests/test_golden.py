@@ -67,6 +67,22 @@ def test_count_slides_differ_in_their_first_window(spark):
     assert rows(W.count_slide(df, ["id"], ["ts"], 3, 2, total, full=True)) == [("s", 3, 6), ("s", 5, 12)]
 
 
+def test_count_windows_over_all_rows_take_no_single_task(spark):
+    ids = [(k * 7919) % 5000 for k in range(5000)]
+    df = spark.createDataFrame([(k, k % 13) for k in ids] + [(None, 1)], "id int, v int").repartition(6)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for order, values in ((F.col("id"), [1] + [k % 13 for k in range(5000)]), (F.col("id").desc(), [k % 13 for k in range(4999, -1, -1)] + [1])):
+            got = rows(W.count_tumble(df, [], [order], 4, [F.sum("v").alias("total")]).select("window_no", "total"))
+            assert got == [(k, sum(values[4 * k : 4 * k + 4])) for k in range(1250)]
+        most = W._numbered(df, [], ["id"]).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert most < 5001
+    assert W.count_tumble(df.limit(0), [], ["id"], 4, [F.sum("v").alias("total")]).count() == 0
+
+
 def test_cumulate_adds_up_to_tumble(spark):
     df = timed(spark, [("s", 1, t) for t in (0, 1999, 2000, 9999)])
     got = W.cumulate(df, "et", "2 seconds", "10 seconds", 5).groupBy("window_end").count()
