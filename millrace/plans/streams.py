@@ -28,12 +28,17 @@ PARTS = 3
 
 
 def fed(spark, d, last: bool = True) -> DataFrame:
-    """events as a stream of PARTS micro-batches in order of time, ts as TIMESTAMP; then the row far ahead."""
+    """events as a stream of PARTS micro-batches in order of time, ts as TIMESTAMP; then the row far ahead.
+
+    The parts are cut at quantiles of ts. The first and the last are open, and null times are in the first, so
+    every row is in exactly one, whatever its event_id."""
     path = scratch(spark)
     e = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    n = e.count()
+    at = F.unix_micros("ts")
+    cuts = e.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)])).first()[0] or []  # none: no times
+    part = sum((F.coalesce(at >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     for k in range(PARTS):
-        e.filter((F.col("event_id") >= n * k // PARTS) & (F.col("event_id") < n * (k + 1) // PARTS)).coalesce(1).write.parquet(f"{path}/{k}")
+        e.filter(part == k).coalesce(1).write.parquet(f"{path}/{k}")
     if last:
         end = {"event_id": "-1L", "ts": f"TIMESTAMP '{FAR}'", "user_id": "-1L", "event_type": "'end'", "value": "0D", "props": "''"}
         spark.sql("SELECT " + ", ".join(f"{v} AS {k}" for k, v in end.items())).select(e.columns).coalesce(1).write.parquet(f"{path}/{PARTS}")

@@ -152,6 +152,19 @@ def test_all_rows_come_through_the_custom_sink(spark, sf, monkeypatch):
     assert query(spark, sf).first().n == 200
 
 
+def test_every_event_is_fed_once(spark, sf, tmp_path):
+    from millrace.plans import streams
+
+    e = spark.read.parquet(f"{sf}/events.parquet").filter("event_id < 90")
+    odd = e.withColumn("event_id", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("event_id") * 1000)).withColumn("ts", F.when(F.col("event_id") % 5000 != 0, F.col("ts")))
+    odd.union(odd.limit(7)).write.parquet(f"{tmp_path}/a/events.parquet")
+    odd.withColumn("ts", F.lit(None).cast(e.schema["ts"].dataType)).write.parquet(f"{tmp_path}/b/events.parquet")
+    for d in ("a", "b"):
+        given = spark.read.parquet(f"{tmp_path}/{d}/events.parquet").select("event_id", "user_id")
+        got = streams.collected(spark, streams.fed(spark, f"{tmp_path}/{d}", last=False).select("event_id", "user_id"))
+        assert got.count() == given.count() and not got.exceptAll(given).count()
+
+
 def test_all_rows_are_printed_and_appended(spark, sf, monkeypatch):
     from millrace.plans import streams
 
