@@ -1,7 +1,8 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
 A token is a run of up to eight characters without white space, so text without spaces has tokens too.
-k tokens make a gram, whose hash rolls over the tokens' hashes. Of every w neighbouring grams the one with
+k tokens make a gram. Each gram is hashed afresh from its tokens' hashes, not rolled from the gram before, as
+k is small. Of every w neighbouring grams the one with
 the smallest hash is chosen, the rightmost of equals: a hash and its position are packed in one number, the
 position counting down in the low bits, so one minimum decides both. Two texts that share a run of
 w + k - 1 tokens share a chosen gram, and the kept positions say where.
@@ -28,7 +29,7 @@ def winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataF
 
     Text with fewer than k tokens is one gram, text with fewer than w grams one window; text without
     tokens (null, empty, white space) has no fingerprint: an empty array. Places count tokens from 0,
-    modulo 2^24. Needs about 60 bytes of memory a token of one text.
+    modulo 2^24, and in longer texts positions and the rightmost tie are wrong. Needs about 60 bytes of memory a token of one text.
     """
     a, b = f"{into}_a", f"{into}_b"
     names = df.columns
