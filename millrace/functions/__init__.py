@@ -16,7 +16,11 @@ def my_upper(s: pd.Series) -> pd.Series:
 
 
 def my_avg(v: pd.Series) -> float:
-    """Mean of a group as sum over count; null if the group has no value."""
+    """Mean of a group as sum over count; null if the group has no value.
+
+    It shows what a user-defined aggregate looks like: Spark gives it each group whole, without partial
+    sums. F.avg is the same, with them.
+    """
     v = v.dropna()
     return float(v.sum()) / len(v) if len(v) else None
 
@@ -35,13 +39,17 @@ class SplitWords:
 
 
 class Top2:
-    """Partition-by table function: (rank, value) of a partition's two greatest values; equal values rank apart."""
+    """Table aggregate over the rows (key, value) of one key, given by PARTITION BY key: (key, rank, value) of the two
+    greatest values; equal values rank apart, nulls are no values, and a key with one value has one row.
+
+    accumulate is eval, emit is terminate; two values are all that it holds.
+    """
 
     def __init__(self):
-        self.first = self.second = None
+        self.key = self.first = self.second = None
 
     def eval(self, row):
-        v = row[0]
+        self.key, v = row[0], row[1]
         if v is None:
             return
         if self.first is None or v > self.first:
@@ -50,10 +58,9 @@ class Top2:
             self.second = v
 
     def terminate(self):
-        if self.first is not None:
-            yield 1, self.first
-        if self.second is not None:
-            yield 2, self.second
+        for rank, v in ((1, self.first), (2, self.second)):
+            if v is not None:
+                yield self.key, rank, v
 
 
 def register(spark: SparkSession) -> None:
@@ -61,7 +68,7 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("my_upper", F.pandas_udf(my_upper, "string"))
     spark.udf.register("my_avg", F.pandas_udf(my_avg, "double"))
     spark.udtf.register("split_words", F.udtf(SplitWords, returnType="word string, len int"))
-    spark.udtf.register("top2_values", F.udtf(Top2, returnType="rank int, value bigint"))
+    spark.udtf.register("top2_values", F.udtf(Top2, returnType="key bigint, rank int, value bigint"))
 
 
 def typed_length(column: str) -> Column:

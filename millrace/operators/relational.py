@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 #: A side that Spark may copy to every executor: only if its estimated size is known and below this.
 BROADCAST_BYTES = 64 << 20
@@ -99,9 +101,29 @@ def alarm_on_jump(df: DataFrame, keys: list[str], order: list, field: str, limit
 
 
 def running_top(df: DataFrame, keys: list[str], order: list, field: str, n: int) -> DataFrame:
-    """For each row the n greatest values of its key so far, greatest first."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("top", F.slice(F.sort_array(F.collect_list(field).over(frame), asc=False), 1, n))
+    """For each row the n greatest values of its key so far, greatest first; nulls are no values.
+
+    A fold over the sorted rows of a key that holds n values, in Arrow batches: a window frame from the
+    first row would collect all rows before each row.
+    """
+
+    def fold(batches):
+        now, top = object(), []
+        for batch in batches:
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, field)]
+            for *key, value in zip(*columns, strict=True):
+                if key != now:
+                    now, top = key, []
+                if value is not None:
+                    top = sorted((*top, value), reverse=True)[:n]
+                out.append(top)
+            kind = batch.schema.field(field).type
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(kind))], [*batch.schema.names, "top"])
+
+    schema = StructType([*df.schema, StructField("top", ArrayType(df.schema[field].dataType))])
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(fold, schema)
 
 
 def route(df: DataFrame, routes: dict[str, Column], rest: str = "main", tag: str = "route") -> DataFrame:
@@ -133,7 +155,11 @@ def partition_by_id(df: DataFrame, n: int, partition: Column) -> DataFrame:
 
 
 def tokens(df: DataFrame, text: str, separator: str = " ") -> DataFrame:
-    """One row (word) per word; empty words at the end of a line go, as they do when a line is split in Java."""
+    """One row (word) per word; empty words at the end of a line go, as they do when a line is split in Java.
+    The separator is a regular expression."""
+    if len(separator) == 1 and (separator.isalnum() or separator in " ,;:-_/\t"):
+        line = F.rtrim(F.col(text), F.lit(separator))
+        return df.select(F.explode(F.when(line != "", F.split(line, separator))).alias("word"))
     words = F.split(text, separator)
     used = F.reverse(F.transform(words, lambda w, i: F.when(w != "", i + 1)))
     upto = F.coalesce(F.array_max(used), F.lit(0))

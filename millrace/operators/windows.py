@@ -7,11 +7,11 @@ streams too. Count windows and OVER frames are for bounded input (streams: see s
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import with_checkpoints
+
 
 def _bounds(df: DataFrame, window: Column, time: str) -> DataFrame:
     kind = dict(df.dtypes)[time]
@@ -59,10 +59,8 @@ def cumulate(df: DataFrame, time: str, step: str, size: str, steps: int) -> Data
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df in files of spark.checkpoint.dir; where that is unset, as in tests on one machine, of a folder made here."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    """df in files of the shared folder."""
+    with_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_folder
 from millrace.sources import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,5 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder path that all executors see: below spark.checkpoint.dir where it is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/scratch-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="millrace-")
+    """A new folder path that all executors see."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"

@@ -19,6 +19,7 @@ from millrace.operators import relational as R
 from millrace.plans.base import events, query, scratch, sensors
 from millrace.plans.relational import TOPN
 from millrace.plans.windows import hopped, sessions, tumbled
+from millrace.session import Checkpointing
 from millrace.sources import sinks as K
 from millrace.sources import table
 from millrace.streaming import processors as P
@@ -46,7 +47,8 @@ def fed(spark, d, last: bool = True) -> DataFrame:
 
 
 def collected(spark, stream: DataFrame, mode: str = "append", clock: bool = False) -> DataFrame:
-    return T.bounded(spark, stream, f"m_{uuid.uuid4().hex}", scratch(spark), mode, clock)
+    path = scratch(spark)
+    return T.bounded(spark, stream, f"{path}/out", f"{path}/cp", mode, clock)
 
 
 def ntz(df: DataFrame, *names: str) -> DataFrame:
@@ -54,8 +56,7 @@ def ntz(df: DataFrame, *names: str) -> DataFrame:
 
 
 def written(spark, stream: DataFrame, writer, mode: str = "append") -> None:
-    q = stream.writeStream.outputMode(mode).foreachBatch(writer).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
-    q.awaitTermination()
+    Checkpointing(scratch(spark), None).start(stream, mode, each_batch=writer).awaitTermination()
 
 
 def to_files(path: str):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import tempfile
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ DEFAULTS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
 }
+PROVIDER, BACKEND = "spark.sql.streaming.stateStore.providerClass", "spark.millrace.state.backend"
 BACKENDS = {
     "heap": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
     "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,22 +48,70 @@ class Settings:
     conf: dict[str, str] = field(default_factory=dict)
 
 
-def open_session(settings: Settings | None = None) -> SparkSession:
-    s = settings or Settings()
+def conf_of(s: Settings) -> dict[str, str]:
+    """The configuration that settings stand for."""
     conf = dict(DEFAULTS)
-    conf["spark.sql.streaming.stateStore.providerClass"] = BACKENDS[s.state_backend]
+    conf[BACKEND] = s.state_backend
+    conf[PROVIDER] = BACKENDS[s.state_backend]
     conf["spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"] = str(s.incremental_state).lower()
     conf["spark.ui.enabled"] = str(s.ui_port is not None).lower()
     if s.ui_port is not None:
         conf["spark.ui.port"] = str(s.ui_port)
     if s.parallelism is not None:
         conf["spark.sql.shuffle.partitions"] = str(s.parallelism)
-    builder = SparkSession.builder.appName(s.app).config(map=conf | s.conf)
+    return conf | s.conf
+
+
+def open_session(settings: Settings | None = None) -> SparkSession:
+    s = settings or Settings()
+    builder = SparkSession.builder.appName(s.app).config(map=conf_of(s))
     spark = (builder.master(s.master) if s.master else builder).getOrCreate()
     spark.sparkContext.setLogLevel(s.log_level)
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where that is unset a folder is made here if all executors are on this machine, as in tests; elsewhere
+    it is an error, as other machines would not see the folder.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder there that all executors see")
+    return tempfile.mkdtemp(prefix="millrace-")
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Lets DataFrame.checkpoint() write below the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+@contextlib.contextmanager
+def state_for(df: DataFrame) -> Iterator[None]:
+    """What a query over df needs of the session while it is started, put back after.
+
+    Keyed processors keep several states under one key, which only the RocksDB store can do. Sessions that
+    were opened with state_backend="heap" say so, and a processor in them is an error.
+    """
+    spark = df.sparkSession
+    if "TransformWithState" not in df._jdf.queryExecution().analyzed().toString():
+        yield
+        return
+    if spark.conf.get(BACKEND, "rocksdb") == "heap":
+        raise ValueError('a keyed processor needs state_backend="rocksdb", and this session asks for "heap"')
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, BACKENDS["rocksdb"])
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     """--hostname and --port of a socket source, --mode of the run."""
     p = argparse.ArgumentParser()
@@ -94,9 +145,9 @@ class Checkpointing:
         w = df.writeStream.outputMode(mode).option("checkpointLocation", self.location).options(**options)
         w = w.queryName(self.query_name) if self.query_name else w
         w = w.trigger(availableNow=True) if self.interval is None else w.trigger(processingTime=self.interval)
-        if each_batch is not None:
-            return w.foreachBatch(each_batch).start()
-        return w.format(sink).start() if sink else w.start()
+        w = w.foreachBatch(each_batch) if each_batch is not None else w.format(sink) if sink else w
+        with state_for(df):
+            return w.start()
 
 
 def supervise(start: Callable[[], object], attempts: int = 3, delay: float = 2.0, fatal: tuple[type[BaseException], ...] = ()) -> int:

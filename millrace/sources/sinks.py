@@ -58,17 +58,50 @@ def jdbc_append_batch(url: str, name: str, **options) -> Callable[[DataFrame, in
     return lambda df, _: jdbc_append(df, url, name, **options)
 
 
+def query_id(df: DataFrame) -> str:
+    """Id of the streaming query that calls a foreachBatch function; it stays the same as long as its checkpoint does. Empty elsewhere."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+class Topic:
+    """A log of records in a folder, written in transactions: each micro-batch is one.
+
+    A batch's records are written first, below the query's id and the batch's number, and then its commit;
+    a batch that runs again after a failure replaces its records. read() gives committed records only, so
+    each record counts once from a replayable source to the readers of the topic.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        own = f"run={query_id(df) or 'none'}/batch={batch}"
+        df.write.mode("overwrite").parquet(f"{self.path}/records/{own}")
+        self.commit(df.sparkSession, own)
+
+    def commit(self, spark, own: str) -> None:
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/{own}")
+
+    def read(self, spark, committed: bool = True) -> DataFrame:
+        records = spark.read.option("basePath", f"{self.path}/records").parquet(f"{self.path}/records")
+        if committed:
+            commits = spark.read.option("basePath", f"{self.path}/commits").parquet(f"{self.path}/commits").select("run", "batch")
+            records = records.join(commits, ["run", "batch"], "left_semi")
+        return records.drop("run", "batch")
+
+
 class Upsert:
     """Upsert of micro-batches into a database table by key, through a staging table.
 
-    add: names of columns that are added to the stored value (others overwrite it). A batch number is
-    stored with each batch, in the same transaction, so a batch that is replayed after a failure is not
-    added twice. dialect: "merge" (Derby, Postgres 15) or "mysql".
+    add: names of columns that are added to the stored value (others overwrite it). The query's id and the
+    batch's number are stored with each batch, in the same transaction, so a batch that is replayed after a
+    failure is not added twice. A query that starts anew, with another checkpoint, has another id: its
+    batches are added from number 0 on. Outside a stream the id is `run`. dialect: "merge" (Derby, Postgres 15) or "mysql".
     The stored table has the frame's columns; the staging and batch tables are made if they are missing.
     """
 
-    def __init__(self, url: str, name: str, keys: list[str], add: tuple[str, ...] = (), dialect: str = "merge", **options):
-        self.url, self.name, self.keys, self.add, self.dialect, self.options = url, name, keys, add, dialect, options
+    def __init__(self, url: str, name: str, keys: list[str], add: tuple[str, ...] = (), dialect: str = "merge", run: str = "", **options):
+        self.url, self.name, self.keys, self.add, self.dialect, self.run, self.options = url, name, keys, add, dialect, run, options
 
     def statement(self, columns: list[str], staging: str) -> str:
         rest = [c for c in columns if c not in self.keys]
@@ -84,11 +117,12 @@ class Upsert:
 
     def __call__(self, df: DataFrame, batch: int) -> None:
         staging, done = f"{self.name}_staging", f"{self.name}_batches"
+        run = (query_id(df) or self.run).replace("'", "''")
         connection = jvm_jdbc.connect(df.sparkSession, self.url, self.options)
         try:
             if not jvm_jdbc.has_table(connection, done):
-                jvm_jdbc.run(connection, f"CREATE TABLE {done} (batch BIGINT)")
-            if self.add and jvm_jdbc.one(connection, f"SELECT count(*) FROM {done} WHERE batch = {batch}"):
+                jvm_jdbc.run(connection, f"CREATE TABLE {done} (run VARCHAR(100), batch BIGINT)")
+            if self.add and jvm_jdbc.one(connection, f"SELECT count(*) FROM {done} WHERE run = '{run}' AND batch = {batch}"):
                 return
             if jvm_jdbc.has_table(connection, staging):
                 jvm_jdbc.run(connection, f"DELETE FROM {staging}")
@@ -99,7 +133,7 @@ class Upsert:
             connection.setAutoCommit(False)
             try:
                 jvm_jdbc.run(connection, self.statement(df.columns, staging))
-                jvm_jdbc.run(connection, f"INSERT INTO {done} VALUES ({batch})")
+                jvm_jdbc.run(connection, f"INSERT INTO {done} VALUES ('{run}', {batch})")
                 connection.commit()
             except Exception:
                 connection.rollback()

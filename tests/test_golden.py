@@ -91,11 +91,11 @@ def test_cumulate_adds_up_to_tumble(spark):
 
 @pytest.mark.parametrize("values,expected", [([5, 5, 3], [(1, 5), (2, 5)]), ([5], [(1, 5)]), ([None], [])])
 def test_top2(spark, values, expected):
-    df = spark.createDataFrame([("k", v) for v in values], "k string, v bigint")
+    df = spark.createDataFrame([(7, v) for v in values], "k bigint, v bigint")
     assert rows(fn.top2(df, "k", "v").select("rank", "v")) == expected
     fn.register(spark)
     df.createOrReplaceTempView("t_top2")
-    assert rows(spark.sql("SELECT rank, value FROM top2_values(TABLE(SELECT v FROM t_top2) WITH SINGLE PARTITION)")) == expected
+    assert rows(spark.sql("SELECT key, rank, value FROM top2_values(TABLE(t_top2) PARTITION BY k)")) == [(7, *x) for x in expected]
 
 
 def test_interval_and_window_join_edges(spark):
@@ -243,7 +243,7 @@ def test_state_survives_a_restart(spark, tmp_path):
 def test_jump_alarm(spark, tmp_path):
     spark.createDataFrame([("s", 100, 1), ("s", 105, 2), ("s", 116, 3)], "id string, vc int, ts bigint").write.parquet(f"{tmp_path}/in")
     stream = P.keyed(spark.readStream.schema("id string, vc int, ts bigint").parquet(f"{tmp_path}/in"), ["id"], P.JumpAlarm(10), P.JumpAlarm.SCHEMA)
-    assert rows(T.bounded(spark, stream, "alarms", f"{tmp_path}/cp")) == [("s", 105, 116, 3)]
+    assert rows(T.bounded(spark, stream, f"{tmp_path}/out", f"{tmp_path}/cp")) == [("s", 105, 116, 3)]
 
 
 def test_state_expires(spark, tmp_path):
@@ -252,7 +252,7 @@ def test_state_expires(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([("s", 1, k)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
         stream = P.keyed(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), ["id"], P.ExpiringTotal(1000), P.ExpiringTotal.SCHEMA, time="processingtime")
-        got.append([r.total for r in T.bounded(spark, stream, f"expiring{k}", f"{tmp_path}/cp{k}", clock=True).collect()])
+        got.append([r.total for r in T.bounded(spark, stream, f"{tmp_path}/out{k}", f"{tmp_path}/cp{k}", clock=True).collect()])
         time.sleep(1)
     assert got[0] == [1] and sorted(got[1]) == [1, 2]
 
