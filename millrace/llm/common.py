@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import with_checkpoints
+
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder that the driver uses.
@@ -22,16 +23,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by files in the cluster's shared folder.
+    """df cut from its lineage by files in the cluster's shared folder, spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a folder
-    is made here.
+    Only where that is unset and all executors are on this machine, as in tests, a folder is made here.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="millrace-"))
+    with_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
