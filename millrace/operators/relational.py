@@ -154,6 +154,31 @@ def partition_by_id(df: DataFrame, n: int, partition: Column) -> DataFrame:
     return df.repartitionById(n, partition.cast("int"))
 
 
+PARTITIONERS = ("rebalance", "rescale", "key group", "shuffle", "broadcast", "global", "forward")
+
+
+def dealt(df: DataFrame, how: str, n: int, keys: list[str] = ()) -> DataFrame:
+    """Rows dealt to n tasks: in turn (rebalance), by joining neighbouring tasks (rescale; n is less than now),
+    by hash of the keys (key group), at random (shuffle), all rows to each (broadcast: n times the rows),
+    all to one (global: what it is given has to fit one task), or as they are (forward).
+    """
+    if how == "rebalance":
+        return df.repartition(n)
+    if how == "rescale":
+        return df.coalesce(n)
+    if how == "key group":
+        return df.repartition(n, *keys)
+    if how == "shuffle":
+        return df.withColumn("_to", (F.rand(7) * n).cast("int")).repartitionById(n, "_to").drop("_to")
+    if how == "broadcast":
+        return df.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartitionById(n, "_to").drop("_to")
+    if how == "global":
+        return df.coalesce(1)
+    if how == "forward":
+        return df
+    raise ValueError(how)
+
+
 def tokens(df: DataFrame, text: str, separator: str = " ") -> DataFrame:
     """One row (word) per word; empty words at the end of a line go, as they do when a line is split in Java.
     The separator is a regular expression."""

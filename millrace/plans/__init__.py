@@ -1,6 +1,6 @@
 """All registered queries: name to function, and to SQL that gives the same rows."""
 
-from millrace.plans import relational, streams, windows  # noqa: F401  (they register their queries)
+from millrace.plans import operation, relational, streams, windows  # noqa: F401  (they register their queries)
 from millrace.plans.base import ORACLES, QUERIES
 
 

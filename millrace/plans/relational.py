@@ -407,10 +407,10 @@ def t8_running_top3(spark, d):
 
 # ---- set operations and several streams
 
-A = "SELECT user_id % 20 AS k FROM events WHERE event_type = 'click'"
-B = "SELECT user_id % 25 AS k FROM events WHERE event_type = 'view' AND user_id % 3 = 0"
+A = "SELECT user_id, event_type FROM events"
+B = "SELECT o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'click' WHEN 'O' THEN 'view' ELSE 'other' END AS event_type FROM orders"
 for _n, _op in (("x1_union", "UNION"), ("x1_union_all", "UNION ALL"), ("x2_intersect", "INTERSECT"), ("x2_intersect_all", "INTERSECT ALL"), ("x3_except", "EXCEPT"), ("x3_except_all", "EXCEPT ALL")):
-    sql_query(_n, f"{A} {_op} {B}", f"{A} {_op} {B}", ("events",))
+    sql_query(_n, f"{A} {_op} {B}", f"{A} {_op} {B}", ("events", "orders"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, event_type FROM events WHERE event_type = 'view'")
@@ -530,8 +530,11 @@ def u4_typed_udf(spark, d):
 
 @query(TOP2)
 def u6_table_aggregate(spark, d):
-    e = events(spark, d).select("user_id", F.floor("value").cast("int").alias("vc"))
-    return fn.top2(e, "user_id", "vc")
+    """The user-defined table aggregate itself, a partition a user; t7 is the built-in form."""
+    fn.register(spark)
+    events(spark, d).select("user_id", F.floor("value").alias("vc")).createOrReplaceTempView("t_vc")
+    got = spark.sql("SELECT key AS user_id, rank, CAST(value AS INT) AS vc FROM top2_values(TABLE(t_vc) PARTITION BY user_id)")
+    return got
 
 
 # ---- distribution
@@ -543,11 +546,21 @@ def e4_custom_partitioner(spark, d):
     return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events")
+@query("""WITH e AS (SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events)
+SELECT 'rebalance' AS partitioner, n, users, 4 AS parts, true AS holds FROM e UNION ALL SELECT 'rescale', n, users, 2, true FROM e UNION ALL SELECT 'key group', n, users, 4, true FROM e
+UNION ALL SELECT 'shuffle', n, users, 4, true FROM e UNION ALL SELECT 'broadcast', 4 * n, users, 4, true FROM e UNION ALL SELECT 'global', n, users, 1, true FROM e UNION ALL SELECT 'forward', n, users, 4, true FROM e""")
 def e3_partitioners(spark, d):
-    e = events(spark, d)
-    dealt = e.repartition(4).repartition(4, "user_id").coalesce(1)
-    return dealt.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    """Every way of dealing rows to tasks: no row is lost (broadcast gives each task all of them), the number of tasks is the
+    one asked for, and what the partitioner promises holds (counted by task, then added up)."""
+    e, out = events(spark, d).select("event_id", "user_id"), None
+    for kind in R.PARTITIONERS:
+        dealt = R.dealt(e.repartition(4) if kind in ("forward", "rescale") else e, kind, 1 if kind == "global" else 2 if kind == "rescale" else 4, ["user_id"])
+        task = dealt.withColumn("part", F.spark_partition_id()).groupBy("part", "user_id").agg(F.count(F.lit(1)).alias("n"))
+        total = task.agg(F.sum("n").alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct("part").cast("int").alias("parts"), F.count(F.lit(1)).alias("pairs"), F.max("n").alias("most"))
+        holds = {"key group": F.col("pairs") == F.col("users"), "broadcast": F.col("pairs") == 4 * F.col("users"), "global": F.col("pairs") == F.col("users")}.get(kind, F.lit(True))
+        row = total.select(F.lit(kind).alias("partitioner"), "n", "users", "parts", holds.alias("holds"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("SELECT word, count(*) AS count FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word")

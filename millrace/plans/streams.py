@@ -6,7 +6,12 @@ which closes all windows; that row's results are taken out again.
 
 from __future__ import annotations
 
-import os
+import contextlib
+import itertools
+import socket
+import tempfile
+import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,7 +24,7 @@ from millrace.operators import relational as R
 from millrace.plans.base import events, query, scratch, sensors
 from millrace.plans.relational import TOPN
 from millrace.plans.windows import hopped, sessions, tumbled
-from millrace.session import Checkpointing
+from millrace.session import Checkpointing, shared_folder
 from millrace.sources import sinks as K
 from millrace.sources import table
 from millrace.streaming import processors as P
@@ -63,6 +68,19 @@ def to_files(path: str):
     return lambda df, k: df.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
 
+def printed(spark, run) -> DataFrame:
+    """What run() prints, a row a line. The lines go through a file of the driver's, and from there in parts to the shared folder."""
+    path, n = scratch(spark), 0
+    with tempfile.TemporaryFile("w+") as out:
+        with contextlib.redirect_stdout(out), contextlib.redirect_stderr(out):
+            run()
+        out.seek(0)
+        while part := list(itertools.islice(out, 100_000)):
+            spark.createDataFrame([(line.rstrip("\n"),) for line in part], "line string").write.parquet(f"{path}/{n}")
+            n += 1
+    return spark.read.schema("line string").parquet(*(f"{path}/{k}" for k in range(n))) if n else spark.createDataFrame([], "line string")
+
+
 # ---- sources
 
 
@@ -91,6 +109,52 @@ def s4_text_file(spark, d):
     return S.text_file(spark, f"{path}/t")
 
 
+@contextlib.contextmanager
+def served(lines: list[str]):
+    """A socket server that gives the lines to its first client and stays open; its port."""
+    server, stop = socket.create_server(("127.0.0.1", 0)), threading.Event()
+
+    def serve():
+        client, _ = server.accept()
+        client.sendall("".join(f"{x}\n" for x in lines).encode())
+        stop.wait(120)
+        client.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    try:
+        yield server.getsockname()[1]
+    finally:
+        stop.set()
+        server.close()
+
+
+def heard(spark, lines: list[str], make, mode: str = "append") -> DataFrame:
+    """make(lines of a socket) as a stream over all the lines."""
+    path, seen = scratch(spark), {"rows": 0}
+
+    def write(df, k):
+        df.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else k}")
+
+    with served(lines) as port:
+        q = make(S.socket_text(spark, "127.0.0.1", port)).writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch(spark)).start()
+        try:
+            for _ in range(600):
+                q.processAllAvailable()
+                seen["rows"] = sum(int(p["numInputRows"]) for p in (x if isinstance(x, dict) else x.jsonValue for x in q.recentProgress))
+                if seen["rows"] >= len(lines):
+                    break
+                time.sleep(0.1)
+        finally:
+            q.stop()
+    return spark.read.parquet(f"{path}/*")
+
+
+@query(NATION_LINES)
+def s6_socket(spark, d):
+    lines = [r[0] for r in table(spark, d, "nation").select("n_name").collect()]  # the 25 nations
+    return heard(spark, lines, lambda x: x)
+
+
 @query(NATION_LINES)
 def s5_file_source_stream(spark, d):
     path = scratch(spark)
@@ -117,8 +181,14 @@ def s9_generator(spark, d):
     return S.generated(spark, 100, F.struct("id", (F.col("id") * 1000).alias("ts")).alias("r")).select("r.id", "r.ts")
 
 
-@query("SELECT 50 AS n, 50 AS good FROM (VALUES (1)) t")
+@query("SELECT range AS id, range * 1000 AS ts FROM range(0, 100)")
 def s10_custom_source(spark, d):
+    """A source class of its own, registered by name and read in three parts."""
+    return S.own_source(spark, S.CountingSource, "id BIGINT, ts BIGINT", rows=100, partitions=3)
+
+
+@query("SELECT 50 AS n, 50 AS good FROM (VALUES (1)) t")
+def s9_random_events(spark, d):
     made = S.random_events(spark, 50)
     good = F.col("user").isin(*S.USERS) & F.col("url").isin(*S.URLS)
     return made.agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum(good.cast("int")).cast("int").alias("good"))
@@ -200,16 +270,19 @@ def s19_view_and_schema(spark, d):
 TOTALS = "SELECT user_id, CAST(sum(CAST(floor(value) AS INTEGER)) AS BIGINT) AS total FROM events GROUP BY user_id"
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id < 100")
+@query("SELECT 'E> (' || event_id || ', ' || chr(39) || event_type || chr(39) || ')' AS line FROM events")
 def k1_print(spark, d):
-    """All events are printed; the rows given back are those of the oracle."""
-    df = events(spark, d).select("event_id", "event_type")
-    with open(os.devnull, "w") as out:
-        import contextlib
+    """The lines that were printed."""
+    return printed(spark, lambda: K.print_rows(events(spark, d).select("event_id", "event_type"), "E", limit=None))
 
-        with contextlib.redirect_stdout(out):
-            K.print_rows(df, "E", limit=None)
-    return df.filter("event_id < 100")
+
+@query("SELECT 'P> (' || event_id || ', ' || chr(39) || event_type || chr(39) || ')' AS line FROM events")
+def k2_print_connector(spark, d):
+    """The print connector's identifier and stream are options of the table."""
+    r = Registry(spark)
+    r.sql("CREATE TABLE t_print (event_id BIGINT, event_type STRING) WITH ('connector' = 'print', 'print-identifier' = 'P', 'standard-error' = 'true')")
+    events(spark, d).createOrReplaceTempView("t_events")
+    return printed(spark, lambda: r.sql("INSERT INTO t_print SELECT event_id, event_type FROM t_events"))
 
 
 @query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H') AS bucket FROM events")
@@ -262,13 +335,11 @@ def k8_upsert_log(spark, d):
     return last.select(F.from_json("value", "user_id BIGINT, total BIGINT").alias("v")).select("v.*")
 
 
-@query("SELECT user_id, event_type FROM events WHERE event_id < 500")
+@query("SELECT user_id, event_type FROM events")
 def k9_jdbc_append(spark, d):
-    """All events are appended; the rows given back are those of the oracle."""
     url = derby()
-    stream = fed(spark, d, last=False).select("event_id", "user_id", "event_type")
-    written(spark, stream, K.jdbc_append_batch(url, "t_ws", **DERBY))
-    return S.jdbc(spark, url, "t_ws", **DERBY).filter("event_id < 500").select("user_id", "event_type")
+    written(spark, fed(spark, d, last=False).select("user_id", "event_type"), K.jdbc_append_batch(url, "t_ws", **DERBY))
+    return S.jdbc(spark, url, "t_ws", **DERBY)
 
 
 def upserted(spark, d, add: tuple[str, ...], stream: DataFrame, mode: str, create: str, keys: list[str]):
@@ -310,28 +381,37 @@ def k12_jdbc_table_upsert(spark, d):
     return upserted(spark, d, (), stream, "update", 'CREATE TABLE t_sink ("user_id" BIGINT PRIMARY KEY, "total" BIGINT)', ["user_id"])
 
 
-@query("SELECT count(*) AS n FROM events")
-def k13_custom_sink(spark, d):
-    """foreach() with open, process and close; a task writes its rows to one file, a repeated task to the same; they are counted."""
-    path = scratch(spark).removeprefix("file://")
-    held = {}  # the open file of the task
+class RowFiles:
+    """A sink of its own: one file for each task and batch. Its folder has to be mounted on all machines."""
+
+    def __init__(self, path: str):
+        self.path, self.file = path, None
+
+    def setup(self) -> None:
+        import os
 
-    def setup():
         from pyspark import TaskContext
 
-        os.makedirs(path, exist_ok=True)
+        os.makedirs(self.path, exist_ok=True)
         task = TaskContext.get()
-        held["file"] = open(f"{path}/{task.getLocalProperty('streaming.sql.batchId')}-{task.partitionId()}", "w")
+        self.file = open(f"{self.path}/{task.getLocalProperty('streaming.sql.batchId')}-{task.partitionId()}", "w")
 
-    def invoke(row):
-        held["file"].write(f"{row.event_id}\n")
+    def invoke(self, row) -> None:
+        self.file.write(f"{row.event_id}\n")
 
-    def teardown():
-        held["file"].close()
+    def teardown(self) -> None:
+        self.file.close()
 
-    q = fed(spark, d, last=False).writeStream.foreach(K.RowWriter(invoke, setup, teardown)).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+
+@query("SELECT event_id FROM events")
+def k13_custom_sink(spark, d):
+    """foreach() with open, process and close: every row goes through the sink. A task writes its rows to one file
+    of the shared folder, a repeated task to the same file; the rows read back are what the sink was given."""
+    path = shared_folder(spark).removeprefix("file://") + f"/sink-{uuid.uuid4().hex}"
+    written_by = RowFiles(path)
+    q = fed(spark, d, last=False).writeStream.foreach(K.RowWriter(written_by.invoke, written_by.setup, written_by.teardown)).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.text(f"file://{path}").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema("event_id BIGINT").csv(f"file://{path}")
 
 
 @query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY n_regionkey")
@@ -344,12 +424,15 @@ def k14_insert_select(spark, d):
     return r.read("t_counts")
 
 
-@query("""WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE event_id < 50 GROUP BY event_type), b AS (SELECT event_type, count(*) AS n FROM events WHERE event_id < 100 GROUP BY event_type)
-SELECT '-U' AS op, a.event_type, a.n FROM a JOIN b USING (event_type) WHERE a.n <> b.n UNION ALL SELECT '+U', b.event_type, b.n FROM a JOIN b USING (event_type) WHERE a.n <> b.n
-UNION ALL SELECT '+I', event_type, n FROM b WHERE event_type NOT IN (SELECT event_type FROM a)""")
+@query("""WITH cut AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS half FROM events), a AS (SELECT user_id, count(*) AS n FROM events, cut WHERE ts < half GROUP BY user_id), b AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT '-U' AS op, a.user_id, a.n FROM a JOIN b USING (user_id) WHERE a.n <> b.n UNION ALL SELECT '+U', b.user_id, b.n FROM a JOIN b USING (user_id) WHERE a.n <> b.n
+UNION ALL SELECT '+I', user_id, n FROM b WHERE user_id NOT IN (SELECT user_id FROM a)""")
 def k15_changelog(spark, d):
-    count = lambda m: events(spark, d).filter(f"event_id < {m}").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return K.changelog(count(50), count(100), ["event_type"])
+    """From the counts at half time to the counts of all events."""
+    e = events(spark, d)
+    half = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("half"))
+    count = lambda x: x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.changelog(count(e.join(F.broadcast(half), F.col("ts") < F.col("half"))), count(e), ["user_id"])
 
 
 # ---- streams
@@ -432,27 +515,104 @@ def m9_allowed_lateness(spark, d):
     return got.filter("window_start < 4000000000000")
 
 
-@query("SELECT event_id FROM events WHERE event_id % 100 = 0 AND (epoch_us(ts) // 1000) < (SELECT (epoch_us(max(ts)) // 1000) - 86400000 FROM events)")
+MS = "(epoch_us(ts) // 1000)"
+HOUR_END = f"({MS} - {MS} % 3600000 + 3600000)"
+
+
+def arrivals(spark, d, *parts: str) -> DataFrame:
+    """events (event_id, event_type, t) as a stream, a part a micro-batch; a part is a condition on its rows."""
+    path = scratch(spark)
+    e = events(spark, d).select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    for k, part in enumerate(parts):
+        e.filter(part).coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def late_rows(spark, stream: DataFrame, marks, lateness: int = 0) -> DataFrame:
+    path = scratch(spark)
+    written(spark, stream, T.LateData(f"{path}/state", "t", [], 3_600_000, 0, lateness, to_files(f"{path}/out"), to_files(f"{path}/late"), marks))
+    return spark.read.parquet(f"{path}/late").select("event_id")
+
+
+VIEWS_LAST = ("event_type IS DISTINCT FROM 'view'", "event_type = 'view'")
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'view' AND {HOUR_END} + 86400000 <= (SELECT max({MS}) FROM events WHERE event_type IS DISTINCT FROM 'view')")
 def m10_late_side_output(spark, d):
-    """Every hundredth row comes after all the others; those a day behind are late and go to the side output."""
-    path, state = scratch(spark), scratch(spark)
-    e = events(spark, d).select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    e.filter("event_id % 100 <> 0 OR event_id = 9999").coalesce(1).write.parquet(f"{path}/0")
-    e.filter("event_id % 100 = 0").coalesce(1).write.parquet(f"{path}/1")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
-    late = T.LateData(f"{state}/state", "t", [], 1, 0, 86_400_000 - 1, to_files(f"{state}/out"), to_files(f"{state}/late"))
-    written(spark, stream, late)
-    return spark.read.parquet(f"{state}/late").select("event_id")
+    """Views come after all the other rows; those whose hour ended a day before are late and go to the side output."""
+    return late_rows(spark, arrivals(spark, d, *VIEWS_LAST), T.Watermarks(T.latest("t")), 86_400_000)
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'view' AND {HOUR_END} <= (SELECT max({MS}) - 2000 + 1 FROM events WHERE event_type IS DISTINCT FROM 'view')")
+def m4_own_watermark(spark, d):
+    """A generator of its own, two seconds behind and exact to the millisecond, decides what is late."""
+    return late_rows(spark, arrivals(spark, d, *VIEWS_LAST), T.Watermarks(T.to_the_millisecond("t", 2000)))
+
+
+@query(f"SELECT event_id FROM events WHERE event_type = 'view' AND {HOUR_END} <= (SELECT max({MS}) + 1 FROM events WHERE event_type = 'click')")
+def m5_marked_watermark(spark, d):
+    """Only clicks move the watermark; views come last."""
+    return late_rows(spark, arrivals(spark, d, *VIEWS_LAST), T.Watermarks(T.marked("t", F.col("event_type") == "click")))
+
+
+HALF = f"(SELECT min({MS}) + (max({MS}) - min({MS})) // 2 FROM events)"
+
+
+@query(f"""WITH e AS (SELECT {MS} AS t, {MS} - {MS} % 3600000 AS window_start, {HALF} AS half FROM events), w AS (SELECT window_start, count(*) AS n FROM e GROUP BY window_start)
+SELECT 'min' AS policy, window_start, n FROM w WHERE window_start + 3600000 <= (SELECT max(t) FROM e WHERE t < half)
+UNION ALL SELECT 'idle', window_start, n FROM w WHERE window_start + 3600000 <= (SELECT max(t) FROM e)""")
+def m8_idle_input(spark, d):
+    """Two inputs: one gives the first half of the time and falls silent, the other gives the rest. The least of their
+    watermarks stays where the first one stopped; with idleness it goes on after fifteen seconds of the clock."""
+    lo, hi = events(spark, d).agg(*(F.unix_millis(f("ts").cast("timestamp")) for f in (F.min, F.max))).first()
+    lo, hi = lo or 0, hi or 0
+    half, late = lo + (hi - lo) // 2, hi - (hi - lo) // 4
+    out = None
+    for policy, idle in (("min", None), ("idle", 15_000)):
+        path, now = scratch(spark), iter(range(0, 1 << 40, 10_000))
+        stream = arrivals(spark, d, f"t < {half}", f"t >= {half} AND t < {late}", f"t >= {late}").withColumn("input", F.when(F.col("t") < half, "a").otherwise("b"))
+        marks = T.Watermarks(T.latest("t"), "input", ("a", "b"), idle, lambda now=now: next(now))
+        written(spark, stream, T.LateData(f"{path}/state", "t", [], 3_600_000, 0, 0, to_files(f"{path}/out"), to_files(f"{path}/late"), marks))
+        closed = spark.read.parquet(f"{path}/out").select(F.lit(policy).alias("policy"), "window_start", "n")
+        out = closed if out is None else out.union(closed)
+    return out
+
+
+@query(tumbled("1 HOUR", "event_type"))
+def m0_assigned_times(spark, d):
+    """Event time is assigned from a column of milliseconds; the interval at which watermarks come is the trigger's."""
+    stream = fed(spark, d).select("event_type", F.unix_millis("ts").alias("ms"))
+    got = collected(spark, T.window_counts(T.with_event_time(stream, "ms", delay="500 milliseconds"), "et", "1 hour", ["event_type"]))
+    return ntz(got.filter("event_type <> 'end'"), "window_start", "window_end")
+
+
+@query(f"SELECT event_id, epoch_ms({MS}) AS et FROM events")
+def m3_no_watermark(spark, d):
+    stream = fed(spark, d, last=False).select("event_id", F.unix_millis("ts").alias("ms"))
+    return ntz(collected(spark, T.with_event_time(stream, "ms", delay=None).select("event_id", "et")), "et")
+
+
+@query(tumbled("1 HOUR", "event_type").replace("event_type", "event_type AS id", 1))
+def m6_ddl_watermark(spark, d):
+    """The watermark and the event time are columns of a table's DDL."""
+    path = scratch(spark)
+    lines = fed(spark, d).select(F.col("event_type").alias("id"), F.unix_millis("ts").alias("ms"))
+    collected_lines = lines.writeStream.format("csv").option("path", f"{path}/t").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+    collected_lines.awaitTermination()
+    r = Registry(spark)
+    r.sql(f"CREATE TABLE t_wm (id STRING, ms BIGINT, et AS TO_TIMESTAMP_LTZ(ms, 3), WATERMARK FOR et AS et - INTERVAL '2' SECOND) WITH ('connector' = 'filesystem', 'path' = '{path}/t', 'format' = 'csv')")
+    got = collected(spark, T.window_counts(r.read("t_wm", streaming=True), "et", "1 hour", ["id"]))
+    return ntz(got.filter("id <> 'end'"), "window_start", "window_end")
 
 
 @query("SELECT (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 3600000 AS window_start, count(*) AS cnt FROM events GROUP BY 1")
 def m11_late_correction(spark, d):
-    """Late rows are windowed again and added to the stored counts."""
+    """Late rows (views, which come after a row far ahead) are windowed again and added to the stored counts."""
     path, state, url = scratch(spark), scratch(spark), derby()
-    e = events(spark, d).select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    e.filter("event_id % 100 <> 0").coalesce(1).write.parquet(f"{path}/0")
-    spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(4102444800000).cast("bigint").alias("t")).coalesce(1).write.parquet(f"{path}/1")
-    e.filter("event_id % 100 = 0").coalesce(1).write.parquet(f"{path}/2")
+    e = events(spark, d).select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    e.filter(VIEWS_LAST[0]).coalesce(1).write.parquet(f"{path}/0")
+    spark.sql("SELECT -1L AS event_id, 'end' AS event_type, 4102444800000L AS t").coalesce(1).write.parquet(f"{path}/1")
+    e.filter(VIEWS_LAST[1]).coalesce(1).write.parquet(f"{path}/2")
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
     c = K.jvm_jdbc.connect(spark, url, DERBY)
     K.jvm_jdbc.run(c, 'CREATE TABLE t_sink ("window_start" BIGINT PRIMARY KEY, "cnt" BIGINT)')
@@ -496,10 +656,32 @@ def t18_stream_running(spark, d):
     return got.withColumn("mean", F.round("mean", 6))
 
 
-@query(f"SELECT id, ts, CAST(sum(vc) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM ({SENSOR_SQL})")
+@query(f"""WITH s AS (SELECT *, ts >= {HALF} AS later FROM ({SENSOR_SQL}))
+SELECT 'kept' AS state, id, ts, CAST(sum(vc) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM s
+UNION ALL SELECT 'expired', id, ts, CAST(sum(vc) OVER (PARTITION BY id, later ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) FROM s""")
 def t19_stream_ttl(spark, d):
-    """With an hour to live nothing is forgotten in a short run."""
-    return collected(spark, P.keyed(sensor_stream(spark, d), ["id"], P.ExpiringTotal(3_600_000), P.ExpiringTotal.SCHEMA, time="processingtime"), clock=True)
+    """The second half of the events comes a second after the first. With an hour to live nothing is forgotten, with
+    half a second all totals of the first half are."""
+    out = None
+    for state, ttl in (("kept", 3_600_000), ("expired", 500)):
+        path, where = scratch(spark), scratch(spark)
+        e = sensors(spark, d).select("id", "vc", "ts")
+        half = e.agg((F.min("ts") + F.expr("(max(ts) - min(ts)) div 2")).alias("half"))
+        e = e.join(F.broadcast(half), F.lit(True), "left")
+        schema = "id string, vc int, ts bigint"
+        for k, part in enumerate((F.col("ts") < F.col("half"), F.col("ts") >= F.col("half"))):
+            e.filter(part).select("id", "vc", "ts").coalesce(1).write.parquet(f"{path}/{k}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+        def slow(df, k, where=where):
+            df.write.mode("overwrite").parquet(f"{where}/{k}")
+            time.sleep(1)
+
+        with T.no_idle_batches(spark):
+            written(spark, P.keyed(stream, ["id"], P.ExpiringTotal(ttl), P.ExpiringTotal.SCHEMA, time="processingtime"), slow)
+        got = spark.read.parquet(f"{where}/*").select(F.lit(state).alias("state"), "id", "ts", "total")
+        out = got if out is None else out.union(got)
+    return out
 
 
 @query(f"SELECT DISTINCT id, ts + 5000 AS at FROM ({SENSOR_SQL})")
@@ -509,6 +691,15 @@ def t20_stream_timers(spark, d):
     return got.filter("id <> '-1'")
 
 
+@query(f"SELECT DISTINCT id, true AS after_the_row FROM ({SENSOR_SQL})")
+def t21_processing_timers(spark, d):
+    """Timers of the clock: registered with each row, they have fired by the time of a later batch. Their times differ
+    from run to run, so the result is which keys had one, and that it was not before the run began."""
+    began = int(time.time() * 1000)
+    got = collected(spark, P.keyed(sensor_stream(spark, d, last=True), ["id"], P.Reminder(1, processing=True), P.Reminder.SCHEMA, time="processingtime"), clock=True)
+    return got.filter("id <> '-1'").select("id", (F.col("at") > began).alias("after_the_row")).distinct()
+
+
 @query(f"SELECT id, (k - 1) // 3 AS window_no, CAST(sum(vc) AS BIGINT) AS total FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts) AS k FROM ({SENSOR_SQL})) GROUP BY id, (k - 1) // 3 HAVING count(*) = 3")
 def w9_stream_count_window(spark, d):
     return collected(spark, P.keyed(sensor_stream(spark, d), ["id"], P.CountWindow(3), P.CountWindow.SCHEMA))

@@ -87,10 +87,9 @@ def w9_count_tumble(spark, d):
 
 
 @query("""SELECT CAST((k - 1) // 3 AS BIGINT) AS window_no, CAST(sum(v) AS BIGINT) AS total FROM (
-SELECT CAST(floor(value) AS INTEGER) AS v, row_number() OVER (ORDER BY event_id) AS k FROM events WHERE user_id = 7) GROUP BY (k - 1) // 3 HAVING count(*) = 3""")
+SELECT CAST(floor(value) AS INTEGER) AS v, row_number() OVER (ORDER BY event_id) AS k FROM events) GROUP BY (k - 1) // 3 HAVING count(*) = 3""")
 def w9_count_tumble_all(spark, d):
-    one = numbers(spark, d).filter("user_id = 7")
-    return W.count_tumble(one, [], ["event_id"], 3, [F.sum("v").alias("total")]).select(F.col("window_no").cast("bigint").alias("window_no"), "total")
+    return W.count_tumble(numbers(spark, d), [], ["event_id"], 3, [F.sum("v").alias("total")]).select(F.col("window_no").cast("bigint").alias("window_no"), "total")
 
 
 SLID = """SELECT user_id, CAST(k AS INTEGER) AS upto, CAST(total AS BIGINT) AS total FROM (

@@ -197,8 +197,57 @@ class DatagenStream(SimpleDataSourceStreamReader):
 
 def datagen(spark: SparkSession, schema: str, streaming: bool = False, **options) -> DataFrame:
     """datagen(spark, "id STRING, vc INT", **{"number-of-rows": 9, "fields.vc.min": 1, "fields.vc.max": 9})."""
-    spark.dataSource.register(DatagenSource)
-    reader = (spark.readStream if streaming else spark.read).format("millrace-datagen").schema(schema)
+    return own_source(spark, DatagenSource, schema, streaming, **options)
+
+
+class CountingSource(DataSource):
+    """An example of a source class: rows (id, ts) from 0 to the option rows, in the option's number of partitions.
+    As a stream it gives up to ten rows a batch. open and close of a reader are the ends of its generator."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "millrace-counting"
+
+    def schema(self) -> str:
+        return "id BIGINT, ts BIGINT"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return CountingReader(self.options)
+
+    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return CountingStream(self.options)
+
+
+class CountingReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.rows, self.tasks = int(options["rows"]), max(1, int(options.get("partitions", 1)))
+
+    def partitions(self):
+        return [InputPartition((self.rows * i // self.tasks, self.rows * (i + 1) // self.tasks)) for i in range(self.tasks)]
+
+    def read(self, partition):
+        return ((i, i * 1000) for i in range(*partition.value))
+
+
+class CountingStream(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.rows = int(options["rows"])
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"id": 0}
+
+    def read(self, start: dict):
+        end = {"id": min(self.rows, start["id"] + 10)}
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
+        return iter([(i, i * 1000) for i in range(start["id"], end["id"])])
+
+
+def own_source(spark: SparkSession, source: type[DataSource], schema: str, streaming: bool = False, **options) -> DataFrame:
+    """Rows of a source class, which is registered by its name."""
+    spark.dataSource.register(source)
+    reader = (spark.readStream if streaming else spark.read).format(source.name()).schema(schema)
     return reader.options(**{k: str(v) for k, v in options.items()}).load()
 
 

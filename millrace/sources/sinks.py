@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.sources import jvm_jdbc
 
 
-def print_rows(df: DataFrame, identifier: str = "", limit: int | None = 1000, to_stderr: bool = False) -> None:
+def print_rows(df: DataFrame, identifier: str = "", limit: int | None = None, to_stderr: bool = False) -> None:
     """`ID> row` for up to `limit` rows of a bounded frame; None: all, a partition at a time."""
     out = sys.stderr if to_stderr else sys.stdout
     head = f"{identifier}> " if identifier else ""
@@ -22,7 +22,7 @@ def print_rows(df: DataFrame, identifier: str = "", limit: int | None = 1000, to
         print(head + str(tuple(row)), file=out)
 
 
-def print_batch(identifier: str = "", to_stderr: bool = False, limit: int | None = 1000) -> Callable[[DataFrame, int], None]:
+def print_batch(identifier: str = "", to_stderr: bool = False, limit: int | None = None) -> Callable[[DataFrame, int], None]:
     return lambda df, _: print_rows(df, identifier, limit, to_stderr)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import relational as R
 from millrace.session import Checkpointing
-from millrace.streaming.watermarks import Watermarks, latest
+from millrace.streaming.watermarks import Watermarks, last_seen, latest, marked, to_the_millisecond  # noqa: F401
 
 
 def with_event_time(df: DataFrame, millis: str = "ts", into: str = "et", delay: str | None = "0 seconds") -> DataFrame:
@@ -18,6 +19,18 @@ def with_event_time(df: DataFrame, millis: str = "ts", into: str = "et", delay:
     return out if delay is None else out.withWatermark(into, delay)
 
 
+@contextlib.contextmanager
+def no_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside get no batches without rows."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bounded(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, mode: str = "append", clock: bool = False) -> DataFrame:
     """What a stream over bounded input gives, as a table: runs it over all that is there and returns the rows.
 
@@ -26,19 +39,14 @@ def bounded(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str,
     clock: the stream has processing-time state or timers, for which Spark would run empty batches for ever;
     they are switched off for it, so it ends with its input.
     """
-    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before, seen = spark.conf.get(idle), []
+    seen = []
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{batch}")
         seen[:] = [batch] if mode == "complete" else [*seen, batch]
 
-    if clock:
-        spark.conf.set(idle, "false")
-    try:
+    with no_idle_batches(spark) if clock else contextlib.nullcontext():
         Checkpointing(checkpoint, None).start(stream, mode, each_batch=write).awaitTermination()
-    finally:
-        spark.conf.set(idle, before)
     if not seen:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(*(f"{path}/{k}" for k in seen))
