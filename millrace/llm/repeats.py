@@ -1,17 +1,21 @@
 """Suffix-array dedup: bytes covered by a string of L bytes that also occurs elsewhere.
 
-Longest-previous-factor arrays decide: in suffix order, the nearest smaller position before or after a
-suffix is where its longest earlier match starts (and the nearest larger position its longest later one).
-Whether that match has L bytes depends on the first L bytes alone, so suffixes are sorted to depth L: then
-all suffixes with a common prefix of L bytes are one run, in order of position.
+Longest-previous-factor (LPF) arrays decide. In suffix order, the nearest smaller position before or after a
+suffix is where its longest earlier match starts, and the longer of the two common prefixes is its LPF; the
+nearest larger positions give its longest later match in the same way. Only whether a match has L bytes
+matters, so suffixes are sorted, and LPF is counted, to depth L.
 
 To sort only what can repeat, and no text as a whole in one task, candidates are found by winnowing: each
 window of L bytes has one anchor, the gram of GRAM bytes with the least hash in it (rightmost of equals).
 Equal windows have equal anchors, so windows meet by anchor. The windows of one anchor follow each other;
-what they cover is a stretch. Equal stretches are counted by a 128-bit hash, partial counts first, and
-settle all their windows at once. Only different stretches around the same anchor go to the suffix sort,
-one copy of each. An anchor with more than LARGE of them is divided by content instead: its windows are
-counted one by one under a 128-bit hash.
+what they cover is a stretch. Copies of a whole stretch are grouped by a 128-bit hash, partial counts first:
+all but the first of them have an earlier match for each of their windows, whatever the order, so one copy
+of each stretch goes to the suffix sort, where different stretches around the same anchor meet.
+
+No key is dealt to one task whole. Keys that hold more than a ten-thousandth of the rows are at most ten
+thousand; they are broadcast and their rows stay where they are. An anchor with more than LARGE different
+stretches (the edge of a passage that stands in very many texts) is too much for one sort; its windows are
+dealt by content instead, under a 128-bit hash, and counted.
 """
 
 from __future__ import annotations
@@ -28,42 +32,78 @@ from millrace.llm.common import body, checkpoint, parts, ship
 
 LENGTH, GRAM = 400, 64
 #: Different stretches of an anchor that are sorted together; bytes of one suffix sort; bytes of one anchor search.
-LARGE, SORT_BYTES, BLOCK_BYTES = 2048, 1 << 20, 1 << 20
+LARGE, SORT_BYTES = 2048, 1 << 19
+#: Keys that are broadcast are at most so many: each has more than this part of the rows.
+HOT_KEYS = 10_000
 U = np.uint64
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes of data by their first `length` bytes: equal prefixes have equal ranks.
+def ranks(data: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Order of the suffixes of data by their first `length` bytes: equal prefixes have equal ranks. Then the ranks by
+    the first 1, 2, 4, ... bytes, each with -1 behind the end.
 
-    Prefix doubling. A suffix shorter than `length` is ordered by what it has.
+    Prefix doubling. A suffix shorter than the depth is ordered by what it has.
     """
-    r, h = data.astype(np.int64) + 1, 1
+    levels, n = [], len(data)
+
+    def keep(r: np.ndarray, h: int) -> None:
+        levels.append((h, np.append(r, -1).astype(np.int32)))
 
     def join(r: np.ndarray, by: int) -> np.ndarray:
-        right = np.zeros(len(r), np.int64)
-        if by < len(r):
-            right[: len(r) - by] = r[by:]
-        return r * (int(r.max()) + 1) + right
+        right = np.zeros(n, np.int64)
+        if by < n:
+            right[: n - by] = r[by:]
+        return r * (int(r.max(initial=0)) + 1) + right
 
+    r, h = data.astype(np.int64) + 1, 1
+    keep(r, h)
     while h < 4 and h * 2 <= length:  # packed bytes are their own order: 9 bits each
-        right = np.zeros(len(r), np.int64)
-        right[: max(0, len(r) - h)] = r[h:]
+        right = np.zeros(n, np.int64)
+        right[: max(0, n - h)] = r[h:]
         r, h = (r << (9 * h)) | right, h * 2
-    r = np.unique(r, return_inverse=True)[1].astype(np.int64)
+        if h < 4:
+            keep(r, h)
+    r = np.unique(r, return_inverse=True)[1].astype(np.int64) + 1  # 0 is what stands behind the end
+    if h == 4:
+        keep(r, h)
     while h < length:
         by = min(h, length - h)
-        r, h = np.unique(join(r, by), return_inverse=True)[1].astype(np.int64), h + by
-    return r
+        r, h = np.unique(join(r, by), return_inverse=True)[1].astype(np.int64) + 1, h + by
+        if by * 2 == h:
+            keep(r, h)
+    return r, levels
+
+
+def common(levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, length: int) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at i and at j (different places), `length` at most."""
+    k = np.zeros(len(i), np.int64)
+    for h, r in reversed(levels):
+        k += np.where(r[i + k] == r[j + k], h, 0)
+    return np.minimum(k, length)
 
 
 def previous_smaller(order: np.ndarray) -> np.ndarray:
-    """For each place of a suffix order, the nearest earlier place with a smaller position, -1 if none."""
-    out, stack = np.full(len(order), -1), []
-    for i, p in enumerate(order.tolist()):
-        while stack and order[stack[-1]] > p:
-            stack.pop()
-        out[i] = stack[-1] if stack else -1
-        stack.append(i)
+    """For each place of a suffix order, the nearest earlier place with a smaller position, -1 if none.
+
+    All places look at once: one that finds a greater position goes on from what that one has found.
+    """
+    found, open_ = np.arange(-1, len(order) - 1), np.arange(len(order))
+    while len(open_):
+        at = found[open_]
+        open_ = open_[(at >= 0) & (order[at] > order[open_])]
+        found[open_] = found[found[open_]]
+    return found
+
+
+def factors(order: np.ndarray, levels: list[tuple[int, np.ndarray]], length: int, later: bool = False) -> np.ndarray:
+    """LPF of each suffix of a suffix order, in that order, `length` at most: the longest match that starts earlier
+    (later: the longest that starts later)."""
+    by = -order if later else order
+    out = np.zeros(len(order), np.int64)
+    back = previous_smaller(by)
+    front = len(order) - 1 - previous_smaller(by[::-1])[::-1]
+    for near, has in ((back, back >= 0), (front, front < len(order))):
+        out[has] = np.maximum(out[has], common(levels, order[has], order[near[has]], length))
     return out
 
 
@@ -72,20 +112,14 @@ def longest_previous(data: bytes) -> np.ndarray:
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
-    a = np.frombuffer(data, np.uint8)
-    order = np.argsort(ranks(a, n), kind="stable")
-    back = previous_smaller(order)
-    front = previous_smaller(order[::-1])[::-1]
-    front = np.where(front >= 0, n - 1 - front, -1)
-    lpf = np.zeros(n, np.int64)
-    for i, p in enumerate(order.tolist()):
-        for j in (back[i], front[i]):
-            if j >= 0:
-                q, k = int(order[j]), 0
-                while p + k < n and data[p + k] == data[q + k]:
-                    k += 1
-                lpf[p] = max(lpf[p], k)
-    return lpf
+    depth = 4
+    while depth < n:
+        depth *= 2
+    r, levels = ranks(np.frombuffer(data, np.uint8), depth)
+    order = np.argsort(r, kind="stable")
+    out = np.zeros(n, np.int64)
+    out[order] = factors(order, levels, depth)
+    return out
 
 
 def repeated(texts: list[bytes], length: int, starts: list[int], first: bool) -> list[np.ndarray]:
@@ -96,16 +130,31 @@ def repeated(texts: list[bytes], length: int, starts: list[int], first: bool) ->
     begin = np.cumsum(sizes) - sizes
     count = np.array(starts, np.int64)
     at = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    r = ranks(data, length)[at]
-    order = np.argsort(r, kind="stable")  # suffix order to depth L, by position inside a run
-    same = np.zeros(len(at) + 1, bool)
-    same[1:-1] = r[order][1:] == r[order][:-1]
+    r, levels = ranks(data, length)
+    turn = np.argsort(r[at], kind="stable")  # suffix order of the windows, equal ones by position
+    order = at[turn]
     found = np.zeros(len(at), bool)
-    found[order] = same[:-1] if first else same[:-1] | same[1:]  # a smaller position before it, or a larger one after
+    found[turn] = factors(order, levels, length) >= length
+    if not first:
+        found[turn] |= factors(order, levels, length, later=True) >= length
     return np.split(found, np.cumsum(count)[:-1])
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in `weight` the number of left's rows of the key, or fewer.
+
+    Keys with more than a HOT_KEYS-th of the weight are fewer than HOT_KEYS, so they can be broadcast; the rows
+    of left with such a key are not shuffled. No rows, or null keys, give no rows.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(right.filter(F.col(weight) * HOT_KEYS > total))
+    usual = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(weight) * HOT_KEYS <= total), keys, how)
+    return left.join(hot, keys, how).select(*usual.columns).union(usual)
+
+
 class Anchors:
+    """Anchors of all windows of a text. A text shorter than a window has none; any bytes may come, zeros as well."""
+
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
         rng = np.random.default_rng(9)
@@ -184,19 +233,18 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     keys = ["anchor", "h1", "h2"]
     stretches = checkpoint(rows.select("text", "row").mapInArrow(search, "anchor bigint, h1 bigint, h2 bigint, at bigint, loc bigint"))
-    common = checkpoint(stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    found = checkpoint(stretches.join(common, "anchor", "left_semi"))
+    shared = checkpoint(stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    found = checkpoint(split_join(stretches, shared, ["anchor"], "n", "left_semi"))
     kinds = checkpoint(found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), F.min_by("loc", "at").alias("loc")))
-    again = kinds.filter("n > 1").select(*keys, F.col("at").alias("first_at"), F.col("loc").alias("first_loc"))
-    again = checkpoint(again)
-    settled = found.join(again, keys)
+    again = checkpoint(kinds.filter("n > 1").select(*keys, "n", F.col("at").alias("first_at"), F.col("loc").alias("first_loc")))
+    settled = split_join(found, again, keys, "n")
     if first:
         settled = settled.filter("at <> first_at or loc <> first_loc")
     begin, more, row = F.shiftright("loc", 20), F.shiftright("loc", 10).bitwiseAND(1023), F.shiftright("at", 1)
     settled = settled.select(row.alias("row"), begin.alias("a"), (begin + more + length).alias("b"))
 
     mixed = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-    open_ = kinds.join(mixed, "anchor").select("anchor", "at", "loc", "n", "kinds")
+    open_ = split_join(kinds, mixed, ["anchor"], "kinds").select("anchor", "at", "loc", "n", "kinds")
     open_ = checkpoint(open_.groupBy(row.alias("row")).agg(F.collect_list(F.struct("anchor", "at", "loc", "n", "kinds")).alias("in")))
 
     def pack(batches):
@@ -291,8 +339,8 @@ def divided(over: DataFrame, length: int, first: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.full(count, at)), pa.array(np.arange(begin, begin + count)), pa.array(np.full(count, n))], ["h1", "h2", "at", "place", "n"])
 
     each = checkpoint(over.mapInArrow(windows, "h1 bigint, h2 bigint, at bigint, place bigint, n bigint"))
-    counted = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "place")).alias("first")).filter("m > 1")
-    hit = each.join(checkpoint(counted.select("h1", "h2", F.col("first.at").alias("first_at"), F.col("first.place").alias("first_place"))), ["h1", "h2"])
+    counted = checkpoint(each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "place")).alias("f")).filter("m > 1").select("h1", "h2", "m", F.col("f.at").alias("first_at"), F.col("f.place").alias("first_place")))
+    hit = split_join(each, counted, ["h1", "h2"], "m")
     hit = hit.filter("at <> first_at or place <> first_place") if first else hit.filter("n = 1")
     return hit.select(F.shiftright("at", 1).alias("row"), F.col("place").alias("a"), (F.col("place") + length).alias("b"))
 
