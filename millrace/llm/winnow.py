@@ -1,69 +1,102 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A token is a run of up to eight characters without white space, so text without spaces has tokens too.
-k tokens make a gram. Each gram is hashed afresh from its tokens' hashes, not rolled from the gram before, as
-k is small. Of every w neighbouring grams the one with
-the smallest hash is chosen, the rightmost of equals: a hash and its position are packed in one number, the
-position counting down in the low bits, so one minimum decides both. Two texts that share a run of
-w + k - 1 tokens share a chosen gram, and the kept positions say where.
+A gram is K neighbouring bytes of the UTF-8 text, at any place, so scripts without spaces, shifted text and
+inserted letters need no special care. Its hash is a polynomial over its four-byte symbols (their CRC-32, which
+tells all four-byte strings apart) modulo a prime, and rolls: the hash at place i + 4 is the one at i without
+its first symbol, times the base, plus one new symbol. SQL arrays have no scan, so the sums are written out per
+place over shared symbols, with the same values.
+
+Of every W neighbouring grams the one with the smallest hash is chosen, the rightmost of equals: a hash and its
+place are packed in one number, the place counting down in the low bits, so one minimum decides both. Two texts
+that share K + W - 1 bytes share a chosen gram, and the kept places say where.
+
+Long texts are worked on in segments that overlap by a window, one after the other, so a task holds arrays of
+one segment; places are counted over the whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import body, parts
 
-TOKEN = r"\S{1,8}"
-K, W = 3, 4
-#: Low bits of a packed number that hold the position.
-PLACE_BITS = 24
+K, STEP, WINDOW = 16, 6, 36
+SYMBOL = 4
+#: A prime below 2^47 and a base below 2^15, so products fit in a long (fixed values).
+PRIME, BASE = (1 << 47) - 115, 28_657
+#: Windows of one segment; a place in a segment needs PLACE_BITS.
+SEGMENT, PLACE_BITS = 1 << 15, 16
 LAST_PLACE = (1 << PLACE_BITS) - 1
-#: Ranges of ids for each shuffle partition.
-RANGES_A_PARTITION = 4
+#: Ranges of ids for each shuffle partition, and rows that are looked at to find the bounds of one.
+RANGES_A_PARTITION, LOOKS_A_RANGE = 2, 8
 
 
-def winnow(df: DataFrame, text: str, into: str, k: int = K, w: int = W) -> DataFrame:
-    """df with `into`, the chosen grams of column `text` in text order: array of packed hash and place.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def gram_hashes(data: Column, k: int = K) -> Column:
+    """Hash of the k bytes (k a multiple of four) at each place of a binary; one hash of all where there are fewer than k."""
+    n = F.octet_length(data)
+    short = F.array((F.crc32(data) * BASE + n) % PRIME)
+    symbols = F.transform(F.sequence(F.lit(1), F.greatest(n - (SYMBOL - 1), F.lit(1))), lambda i: F.crc32(F.substring(data, i, F.lit(SYMBOL))))
+
+    def rolled(v: Column, i: Column) -> Column:
+        total = F.get(v, i)
+        for j in range(SYMBOL, k, SYMBOL):
+            total = (total * BASE + F.get(v, i + j)) % PRIME
+        return total
+
+    return F.when(n < k, short).otherwise(let(symbols, lambda v: F.transform(F.sequence(F.lit(0), n - k), lambda i: rolled(v, i))))
 
-    Text with fewer than k tokens is one gram, text with fewer than w grams one window; text without
-    tokens (null, empty, white space) has no fingerprint: an empty array. Places count tokens from 0,
-    modulo 2^24, and in longer texts positions and the rightmost tie are wrong. Needs about 60 bytes of memory a token of one text.
-    """
-    a, b = f"{into}_a", f"{into}_b"
-    names = df.columns
-    df = df.select(*names, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0).alias(a))
-    df = df.select(*names, F.transform(a, lambda t: F.xxhash64(t)).alias(a))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - k, F.lit(0))), lambda i: packed(F.xxhash64(*(F.get(F.col(a), i + j) for j in range(k))), i))
-    df = df.select(*names, F.when(F.size(a) > 0, grams).otherwise(F.array().cast("array<bigint>")).alias(a))
-    span = 1
-    while span * 2 <= w:  # minimum of 2, 4, ... neighbours, cut off at the end
-        of = a if span == 1 else b
-        df = df.select(*names, a, F.transform(of, lambda x, i: F.least(x, F.get(F.col(of), i + span))).alias(b))  # noqa: B023  called at once
-        span *= 2
-    whole = F.sequence(F.lit(0), F.greatest(F.size(a) - w, F.lit(0)))
-    source = b if span > 1 else a
-    least = F.transform(whole, lambda i: F.least(F.get(F.col(source), i), F.get(F.col(source), i + w - span)))
-    return df.select(*names, F.when(F.size(a) > 0, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>")).alias(into))
 
+def chosen(hashes: Column, w: int = WINDOW, step: int = STEP) -> Column:
+    """Packed hash and place of the least hash of each window of w hashes, once where windows that follow each other
+    choose the same; fewer than w hashes are one window. w is step times step, and places are below 2^PLACE_BITS."""
+    if step * step != w:
+        raise ValueError("w has to be step * step")
+    marked = F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS) + (LAST_PLACE - i))
+    near = lambda a: F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in range(1, step))))
+    windows = lambda a, n: F.transform(F.sequence(F.lit(0), F.greatest(n - w, F.lit(0))), lambda i: F.least(*(F.get(a, i + j) for j in range(0, w, step))))
+    once = lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1)))
+    return let(let(let(marked, near), lambda a: windows(a, F.size(a))), once)
 
-def packed(hash_: Column, place: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(hash_, PLACE_BITS), PLACE_BITS) + (F.lit(LAST_PLACE) - place % (LAST_PLACE + 1)).cast("bigint")
 
+def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> Column:
+    """The chosen grams of a text in text order: array of (hash, place), place in bytes from 0.
 
-def hashes(chosen: str) -> Column:
-    """The distinct gram hashes of a fingerprint."""
-    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, PLACE_BITS)))
+    Null and empty text have none: an empty array. A text of fewer than k bytes is one gram, one of fewer
+    than w grams one window. Needs about 100 bytes a place of one segment, and the text.
+    """
+
+    def of_segment(data: Column, s: Column) -> Column:
+        begin = s * segment
+        own = F.substring(data, begin + 1, F.lit(segment + w + k - 2))
+        found = let(own, lambda b: let(gram_hashes(b, k), lambda h: chosen(h, w, step)))
+        return F.transform(found, lambda x: F.struct(F.shiftright(x, PLACE_BITS).alias("hash"), (begin + LAST_PLACE - x.bitwiseAND(LAST_PLACE)).cast("bigint").alias("place")))
 
+    def of_text(data: Column) -> Column:
+        windows = F.greatest(F.octet_length(data) - (k + w - 2), F.lit(1))
+        parts_ = F.sequence(F.lit(0), F.floor((windows - 1) / segment).cast("int"))
+        every = F.flatten(F.transform(parts_, lambda s: of_segment(data, s)))
+        return let(every, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["place"] != F.get(a, i - 1)["place"])))  # windows of two segments may choose the same
 
-def places(chosen: str) -> Column:
-    return F.transform(chosen, lambda x: F.lit(LAST_PLACE) - x.bitwiseAND(LAST_PLACE))
+    none = F.array().cast("array<struct<hash:bigint,place:bigint>>")
+    return F.when(F.octet_length(text) > 0, let(text.cast("binary"), of_text)).otherwise(none)
 
 
-def written(chosen: str) -> Column:
+def written(grams: Column) -> Column:
     """A fingerprint as text: its hashes in text order, hexadecimal, with blanks between."""
-    return F.array_join(F.transform(chosen, lambda x: F.lower(F.hex(F.shiftrightunsigned(x, PLACE_BITS)))), " ")
+    return F.array_join(F.transform(grams, lambda x: F.lower(F.hex(x["hash"]))), " ")
+
+
+def hashes(grams: Column) -> Column:
+    """The distinct hashes of a fingerprint."""
+    return F.array_distinct(F.transform(grams, lambda x: x["hash"]))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -73,77 +106,80 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(common / either)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """id, n_tokens_chosen, hashes, places and the written fingerprint of each row. Cases as in winnow().
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> DataFrame:
+    """id, hashes, places and the written fingerprint of each row. Cases as in winnow().
 
     Rows are independent: repeated and null ids are kept as they are, other columns are not read.
     """
-    rows = df.select(F.col(id_col).alias("_x_id"), body(text_col).alias("_x_text"))
-    found = winnow(rows, "_x_text", "_x_fp", k, w)
-    plain = F.transform("_x_fp", lambda x: F.shiftrightunsigned(x, PLACE_BITS))
-    return found.select(F.col("_x_id").alias(id_col), F.size("_x_fp").alias("n_chosen"), plain.alias("hashes"), places("_x_fp").alias("places"), written("_x_fp").alias("fingerprint"))
-
-
-def range_of(value: Column, bounds: list) -> Column:
-    """Number of bounds below the value, found in two steps of about sqrt(len(bounds)) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    full = F.size(F.filter(F.array(*(F.lit(g[-1]) for g in groups)), lambda b: b < value))
-    inner = F.get(F.array(*(F.array(*map(F.lit, g)) for g in groups)), full)
-    return full * step + F.coalesce(F.size(F.filter(inner, lambda b: b < value)), F.lit(0)) * (full < len(groups)).cast("int")
+    rows = df.select(F.col(id_col), winnow(body(text_col), k, w, step, segment).alias("_x_fp"))
+    return rows.select(id_col, F.transform("_x_fp", lambda x: x["hash"]).alias("hashes"), F.transform("_x_fp", lambda x: x["place"]).alias("places"), written(F.col("_x_fp")).alias("fingerprint"))
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
     """_n_id, _n_text, _n_key, _n_copy, _n_range: rows dealt by ranges of descending id, each range with the first row
     of the next one (of the first, after the last) as a marked copy at its end.
 
-    Null ids come last. Rows with the same id are in order of their text's hash, then of their place in df.
+    Null ids come last. Rows with the same id are in order of their text's hash, then of their place in df; as rows
+    equal in both have the same text, that last order changes no result, and it lets the bounds of ranges fall inside
+    any number of rows of one id. Bounds are rows of df: of LOOKS_A_RANGE * ranges rows, picked by the hash of their place.
+    They only decide how rows are dealt, so any pick is right, and each bound is its range's first row. They go to the tasks as one
+    row of arrays (some 40 bytes a range).
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    rows = df.select(F.col(id_col).alias("_n_id"), body(text_col).alias("_n_text"), key.alias("_n_key"))
-    found = rows.agg(F.percentile_approx("_n_key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    at = range_of(F.col("_n_key"), sorted(set(found)))
-    firsts = sorted(rows.groupBy(at.alias("r")).agg(F.max("_n_key")).collect(), reverse=True)  # a row a range
-    if not firsts:
-        return rows.withColumns({"_n_copy": F.lit(False), "_n_range": F.lit(0), "_n_hash": F.lit(0), "_n_row": F.lit(0)})
-    # the first row of range i is copied to range i-1 (the one with the ids above it), cyclically
-    to = {r: firsts[i - 1][0] for i, (r, _) in enumerate(firsts)}
-    top = dict(firsts)
-    is_first = F.get(F.array(*(F.lit(top.get(r)).cast("bigint") for r in range(max(top) + 1))), at) == F.col("_n_key")
-    goes = F.get(F.array(*(F.lit(to.get(r)).cast("int") for r in range(max(top) + 1))), at)
-    here = F.struct(F.lit(False).alias("copy"), at.cast("int").alias("range"))
-    dealt = F.when(is_first, F.array(here, F.struct(F.lit(True).alias("copy"), goes.alias("range")))).otherwise(F.array(here))
-    rows = rows.withColumns({"_n_hash": F.xxhash64("_n_text"), "_n_row": F.monotonically_increasing_id(), "_n_at": F.explode(dealt)})
-    return rows.select("_n_id", "_n_text", "_n_key", "_n_hash", "_n_row", F.col("_n_at.copy").alias("_n_copy"), F.col("_n_at.range").alias("_n_range"))
-
-
-def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
+    spark = df.sparkSession
+    # struct of (is null, descending id, text's hash, place)
+    key = F.struct(F.col(id_col).isNull().alias("z"), F.coalesce(F.bitwise_not(F.col(id_col).cast("bigint")), F.lit(0)).alias("k"), F.xxhash64("_n_text").alias("h"), F.col("_n_row").alias("r"))
+    rows = df.select(F.col(id_col), body(text_col).alias("_n_text"), F.monotonically_increasing_id().alias("_n_row"))
+    rows = rows.select(F.col(id_col).alias("_n_id"), "_n_text", key.alias("_n_key"))
+    least = rows.agg(F.min("_n_key")).first()[0]
+    seen = rows.select("_n_key").orderBy(F.xxhash64("_n_key.r")).limit(LOOKS_A_RANGE * ranges).collect() if least else []
+    seen = sorted({tuple(r[0]) for r in seen} - {tuple(least or ())})
+    bounds = [tuple(least)] * bool(least) + seen[:: max(1, -(-len(seen) // ranges))]
+    width = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    kind = rows.schema["_n_key"].dataType.simpleString()
+    table = spark.createDataFrame([(0, groups, [g[0] for g in groups])], f"_n_one int, _n_groups array<array<{kind}>>, _n_heads array<{kind}>")
+    rows = rows.withColumn("_n_one", F.lit(0)).join(F.broadcast(table), "_n_one")
+    # the range is the number of bounds that are not above the key, less one: the group first, then the place in it
+    not_above = lambda a, x: F.size(F.filter(a, lambda b: b <= x))
+    rows = rows.withColumn("_n_group", not_above(F.col("_n_heads"), F.col("_n_key")) - 1)
+    rows = rows.withColumn("_n_own", F.get("_n_groups", F.col("_n_group"))).withColumn("_n_in", not_above(F.col("_n_own"), F.col("_n_key")) - 1)
+    at = (F.col("_n_group") * width + F.col("_n_in")).alias("_n_at")
+    rows = rows.select("_n_id", "_n_text", "_n_key", at, (F.get("_n_own", F.col("_n_in")) == F.col("_n_key")).alias("_n_first"))
+    here = F.struct(F.lit(False).alias("copy"), F.col("_n_at").alias("range"))
+    there = F.struct(F.lit(True).alias("copy"), F.when(F.col("_n_at") > 0, F.col("_n_at") - 1).otherwise(len(bounds) - 1).alias("range"))
+    dealt = F.explode(F.when(F.col("_n_first"), F.array(here, there)).otherwise(F.array(here)))
+    return rows.select("_n_id", "_n_text", "_n_key", dealt.alias("_n_to")).select("_n_id", "_n_text", "_n_key", F.col("_n_to.copy").alias("_n_copy"), F.col("_n_to.range").alias("_n_range"))
+
+
+def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last floor(n/2) characters are those that the
-    next document (by descending id, cyclically) begins with; likeness to that and to the next document.
+    next document (by descending id, cyclically) begins with; likeness to that and to the next document, and the
+    places of the chosen grams of both.
 
     One shuffle deals the texts by ranges of ids; the fingerprint of each text is made once, after it. A
-    single row is its own next. An empty table gives no rows.
+    single row is its own next. An empty table gives no rows. df must be a table or another input that gives
+    the same rows in the same order when read twice.
     """
     n = parts(df.sparkSession)
-    rows = with_next(df, id_col, text_col, n * RANGES_A_PARTITION).repartition(n, "_n_range")
-    rows = winnow(rows, "_n_text", "_n_fp", k, w).withColumn("_n_set", hashes("_n_fp"))
-    order = Window.partitionBy("_n_range").orderBy("_n_copy", F.col("_n_key").desc(), "_n_hash", "_n_row")
+    rows = with_next(df, id_col, text_col, n * RANGES_A_PARTITION).withColumn("_n_part", F.col("_n_range") % n).repartitionById(n, "_n_part")
+    rows = rows.withColumn("_n_fp", winnow(F.col("_n_text"), k, w, step, segment)).withColumn("_n_set", hashes(F.col("_n_fp")))
+    order = Window.partitionBy("_n_part", "_n_range").orderBy("_n_copy", "_n_key")
     rows = rows.withColumns({"_n_next": F.lead("_n_text").over(order), "_n_next_set": F.lead("_n_set").over(order)}).filter(~F.col("_n_copy"))
     chars = F.char_length("_n_text")
     half = F.floor(chars / 2).cast("int")
     new = F.concat(F.substring("_n_text", F.lit(1), chars - half), F.substring("_n_next", F.lit(1), half))
     rows = rows.select("_n_id", chars.cast("bigint").alias("n_chars"), "_n_fp", "_n_set", "_n_next_set", new.alias("_n_new"))
-    rows = winnow(rows, "_n_new", "_n_new_fp", k, w).withColumn("_n_new_set", hashes("_n_new_fp"))
+    rows = rows.withColumn("_n_new_fp", winnow(F.col("_n_new"), k, w, step, segment)).withColumn("_n_new_set", hashes(F.col("_n_new_fp")))
     return rows.select(
         F.col("_n_id").alias(id_col),
         "n_chars",
         F.sha2("_n_new", 256).alias("edited_sha256"),
-        written("_n_fp").alias("fingerprint"),
-        written("_n_new_fp").alias("edited_fingerprint"),
+        written(F.col("_n_fp")).alias("fingerprint"),
+        written(F.col("_n_new_fp")).alias("edited_fingerprint"),
         likeness("_n_set", "_n_new_set").alias("near_edited"),
         likeness("_n_set", "_n_next_set").alias("near_next"),
+        F.transform("_n_fp", lambda x: x["place"]).alias("places"),
+        F.transform("_n_new_fp", lambda x: x["place"]).alias("edited_places"),
     )
 
 

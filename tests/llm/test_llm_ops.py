@@ -4,10 +4,10 @@ import collections
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
-import xxhash
 from compare import database, differences
 from pyspark.sql import functions as F
 
@@ -56,51 +56,87 @@ def test_encoding_is_the_librarys(spark):
 # ---- 2
 
 
-def brute_fingerprint(text, k=winnow.K, w=winnow.W):
-    import re
-    import struct
-
-    tokens = re.findall(r"[^ \t\n\x0b\f\r]{1,8}", text or "")  # what \S means in Java
-    h = [xxhash.xxh64_intdigest(t.encode(), seed=42) for t in tokens]
-    grams = []
-    for i in range(max(1, len(h) - k + 1) if h else 0):
-        seed = 42
-        for x in h[i : i + k]:
-            seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed=seed)
-        grams.append((seed >> winnow.PLACE_BITS, i))
-    signed = lambda x: x - (1 << 40) if x >= 1 << 39 else x
+def brute_fingerprint(text, k=winnow.K, w=winnow.WINDOW):
+    """Chosen (hash, place) of the whole text at once, hashes rolled from the gram four bytes before."""
+    b = (text or "").encode()
+    if not b:
+        return []
+    if len(b) < k:
+        grams = [(zlib.crc32(b) * winnow.BASE + len(b)) % winnow.PRIME]
+    else:
+        symbol = lambda i: zlib.crc32(b[i : i + 4])
+        grams, top = [], pow(winnow.BASE, k // 4 - 1, winnow.PRIME)
+        for i in range(len(b) - k + 1):
+            if i < 4:
+                h = 0
+                for j in range(0, k, 4):
+                    h = (h * winnow.BASE + symbol(i + j)) % winnow.PRIME
+            else:
+                h = ((grams[i - 4] - symbol(i - 4) * top) * winnow.BASE + symbol(i + k - 4)) % winnow.PRIME
+            grams.append(h)
     chosen = []
-    for i in range(max(1, len(grams) - w + 1) if grams else 0):
-        best = min(grams[i : i + w], key=lambda g: (signed(g[0]), -g[1]))
-        if best not in chosen:
-            chosen.append(best)
+    for i in range(max(1, len(grams) - w + 1)):
+        at = min(range(i, min(i + w, len(grams))), key=lambda j: (grams[j], -j))
+        if not chosen or chosen[-1] != (grams[at], at):
+            chosen.append((grams[at], at))
     return chosen
 
 
-def test_fingerprints(spark):
+def test_fingerprints(spark, monkeypatch):
     rng = random.Random(2)
     texts = ODD + [prose(rng, rng.randint(1, 60)) for _ in range(40)]
-    texts += [texts[-1], "same " * 40]
-    for r in winnow.fingerprints(docs(spark, texts)).collect():
-        want = brute_fingerprint(texts[r.doc_id])
-        assert list(zip(r.hashes, r.places, strict=True)) == want
-    order = list(range(len(texts)))[::-1]
-    got = {r.doc_id: r for r in winnow.edited(docs(spark, texts)).collect()}
+    texts += [texts[-1], "same " * 40, "漢字かな交じり文" * 30, "x" * 90_000 + prose(rng, 9000)]
+    for segment in (winnow.SEGMENT, 50):
+        for r in winnow.fingerprints(docs(spark, texts), segment=segment).collect():
+            if segment == winnow.SEGMENT or len(texts[r.doc_id] or "") < 3000:
+                assert list(zip(r.hashes, r.places, strict=True)) == brute_fingerprint(texts[r.doc_id])
+    monkeypatch.setattr(winnow, "LOOKS_A_RANGE", 3)
     sets = {i: {h for h, _ in brute_fingerprint(t)} for i, t in enumerate(texts)}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    order = list(range(len(texts)))[::-1]
+    got = {r.doc_id: r for r in winnow.edited(docs(spark, texts)).collect()}
     for n, i in enumerate(order):
         t, nxt = texts[i] or "", texts[order[(n + 1) % len(order)]] or ""
         new = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        brute = brute_fingerprint(new)
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == sha(new.encode())
+        assert got[i].edited_fingerprint == " ".join(f"{h:x}" for h, _ in brute) and got[i].edited_places == [p for _, p in brute]
         assert got[i].near_next == pytest.approx(like(sets[i], sets[order[(n + 1) % len(order)]]))
-        assert got[i].near_edited == pytest.approx(like(sets[i], {h for h, _ in brute_fingerprint(new)}))
-
-
-def test_shared_run_is_found():
+        assert got[i].near_edited == pytest.approx(like(sets[i], {h for h, _ in brute}))
+
+
+def test_next_document_of_repeated_and_null_ids(spark):
+    """Rows of one id are in order of their text's hash; all of them may have one id, and ranges divide them."""
+    texts = [f"text {k % 7}" for k in range(40)]
+    for ids in ([5] * 40, [None] * 40, [k // 9 for k in range(40)]):
+        rows = winnow.with_next(docs(spark, texts, ids=ids), "doc_id", "text", 6).collect()
+        ranges = collections.defaultdict(list)
+        for r in rows:
+            ranges[r._n_range].append((r._n_copy, tuple(r._n_key), r._n_text))
+        assert len(ranges) > 3
+        follows = collections.Counter()
+        for own in ranges.values():
+            own.sort()
+            assert [c for c, *_ in own] == [False] * (len(own) - 1) + [True]
+            follows.update((a[2], b[2]) for a, b in zip(own, own[1:], strict=False))
+        every = sorted({tuple(r._n_key): r._n_text for r in rows}.items())
+        assert follows == collections.Counter((a[1], b[1]) for a, b in zip(every, every[1:] + every[:1], strict=True)) and len(every) == 40
+
+
+def test_shared_run_is_found(spark):
+    """A run of K + W - 1 bytes, behind one more letter or shifted in text without spaces, and after one inserted letter."""
     rng = random.Random(3)
-    run = prose(rng, winnow.W + winnow.K, ("aa", "bb"))
-    a, b = brute_fingerprint(prose(rng, 30) + " " + run + " x"), brute_fingerprint("y " + run + " " + prose(rng, 30))
-    assert {h for h, _ in a} & {h for h, _ in b}
+    letters = lambda n, of="abcdefgh": "".join(rng.choice(of) for _ in range(n))
+    run = letters(winnow.K + winnow.WINDOW - 1)
+    long, han = letters(4000), letters(1500, "漢字仮名交文章読書")
+    pairs = [("x" + letters(70) + run + "q", letters(33) + run + letters(50)), (long, "z" + long), (han, "字" + han), (long, long[:2000] + "z" + long[2000:])]
+    got = {r.doc_id: dict(zip(r.hashes, r.places, strict=True)) for r in winnow.fingerprints(docs(spark, [t for p in pairs for t in p])).collect()}
+    shared = [got[2 * k].keys() & got[2 * k + 1].keys() for k in range(4)]
+    assert shared[0]
+    for k, shift in ((1, 1), (2, 3)):  # all grams but those at the edge, moved by the shift in bytes
+        assert len(shared[k]) >= len(got[2 * k]) - 2
+        assert sum(got[2 * k + 1][h] - got[2 * k][h] == shift for h in shared[k]) >= len(shared[k]) - 2
+    assert len(shared[3]) >= len(got[6]) - 6
 
 
 # ---- 3
@@ -299,8 +335,6 @@ def test_language_id(spark):
 
 
 def test_language_id_held_out(spark, sf):
-    import zlib
-
     got = llm.queries()["op8_language_id"](spark, sf).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = [r for r in got if r.held_out]
