@@ -133,7 +133,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFra
     least = rows.agg(F.min("_n_key")).first()[0]
     seen = rows.select("_n_key").orderBy(F.xxhash64("_n_key.r")).limit(LOOKS_A_RANGE * ranges).collect() if least else []
     seen = sorted({tuple(r[0]) for r in seen} - {tuple(least or ())})
-    bounds = [tuple(least)] * bool(least) + seen[:: max(1, -(-len(seen) // ranges))]
+    bounds = ([tuple(least)] if least else []) + seen[:: max(1, -(-len(seen) // ranges))]
     width = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     kind = rows.schema["_n_key"].dataType.simpleString()
