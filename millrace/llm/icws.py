@@ -1,15 +1,19 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Five-word shingles weigh term frequency times inverse document frequency. Document frequencies are counted
-over all rows in a hashed table of fixed size. A shingle's frequency below COMMON is taken as COMMON, so
-only boilerplate weighs less and table collisions (far below COMMON of all rows, at any size) do not matter.
+Five-word shingles weigh term frequency times inverse document frequency, 1 + ln(rows / rows with the shingle).
+Frequencies are counted over all rows in a hashed table of fixed size. A shingle's frequency below COMMON of the rows
+is taken as COMMON, so collisions of the table (far below it, at any size) do not matter and weights do not depend
+on the number of rows. What near copies share is no boilerplate, however many there are: texts that share their least
+shingle hash, where these are more than a ten-thousandth of all rows, count as one row together.
 
 Each of BANDS x ROWS hash functions samples one shingle of a text in proportion to weight (Ioffe 2010); its
 random draws come from a fixed pool by the shingle's hash. Texts that agree in a whole band share a bucket.
 Buckets hold distinct texts only, and buckets with the same members are one bucket. Inside a bucket the
 weighted Jaccard similarity of the texts themselves decides, by a search that visits each text once. Large
-buckets are searched in chunks that share some members; then whatever is outside the bucket's largest
-component is compared with all of the bucket, block by block. Links become classes by connected components.
+buckets are searched in chunks that share some members. Texts that this leaves outside the bucket's largest component
+meet the others by prefixes: of the rarest shingles of a text, those that make up a fifth of its weight. Two texts whose
+similarity reaches 0.8 share a shingle of their prefixes, so texts are only compared with those of the
+bucket that have one of theirs; what is common in a bucket is in no prefix. Links become classes by connected components.
 """
 
 from __future__ import annotations
@@ -21,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import graph
-from millrace.llm.common import body, checkpoint, parts, ship
+from millrace.llm.common import HOT_KEYS, body, checkpoint, parts, ship, split_join
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 TABLE_BITS, TABLE_BLOCKS = 18, 64
-#: A group of near copies may hold a third of all rows; its own shingles must not weigh less than what sets a copy apart.
-COMMON = 0.4
+#: Share of rows below which all shingles weigh the same.
+COMMON = 0.1
 POOL_BITS = 14
-#: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers.
-CHUNK, SHARED, MEMORY_WORDS = 256, 8, 200_000
+#: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers, bits of the filter of prefixes.
+CHUNK, SHARED, MEMORY_WORDS, FILTER_BITS = 256, 8, 200_000, 20
 BLOCK_CHARS = 1 << 20
 U = np.uint64
 
@@ -48,8 +52,8 @@ class Shingler:
         self.size, self.words = size, {}
         self.factors = mix(np.arange(1, size + 1, dtype=U)) | U(1)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct shingles of all texts in one array (ascending in each text), their counts, how many each text has."""
+    def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of all texts in text order, and the text that each is of."""
         import xxhash
 
         if len(self.words) > MEMORY_WORDS:
@@ -74,7 +78,19 @@ class Shingler:
         for j in range(self.size):
             on = left > j
             h[on] += flat[place[on] + j] * self.factors[j]
-        h = mix(h)
+        return mix(h), owner
+
+    def least(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The least shingle hash of each text that has shingles, and which texts these are."""
+        h, owner = self.grams(texts)
+        if not len(h):
+            return np.empty(0, U), np.empty(0, np.int64)
+        new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        return np.minimum.reduceat(mix(h ^ U(0x9E3779B97F4A7C15)), new), owner[new]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of all texts in one array (ascending in each text), their counts, how many each text has."""
+        h, owner = self.grams(texts)
         order = np.lexsort((h, owner))
         h, owner = h[order], owner[order]
         new = np.ones(len(h), bool)
@@ -84,15 +100,25 @@ class Shingler:
 
 
 class Weights:
-    """Inverse document frequencies from the hashed table."""
+    """Inverse document frequencies from the hashed table; no rows, no shingle is common."""
 
-    def __init__(self, table: np.ndarray, rows: int):
-        share = np.maximum(table / max(rows, 1), COMMON)
-        self.idf = np.log(np.e + 1 / share)
-        self.usual = float(np.log(np.e + 1 / COMMON))
+    def __init__(self, table: np.ndarray, rows: float):
+        self.share = (table / max(rows, 1)).astype(np.float32)
+        self.idf = 1 - np.log(np.clip(self.share, COMMON, 1).astype(float))
+        self.usual = float(1 - np.log(COMMON))
+
+    def cell(self, shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> U(64 - TABLE_BITS)).astype(np.int64)
 
     def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * self.idf[(shingles >> U(64 - TABLE_BITS)).astype(np.int64)]
+        return counts * self.idf[self.cell(shingles)]
+
+    def prefix(self, shingles: np.ndarray, counts: np.ndarray, similar: float) -> np.ndarray:
+        """Of one text's shingles the rarest, up to where the others weigh less than `similar` of the whole."""
+        w = self(shingles, counts)
+        order = np.lexsort((shingles, self.share[self.cell(shingles)]))
+        left = w.sum() - np.cumsum(w[order])
+        return shingles[order[: int(np.argmax(left < similar * w.sum() - 1e-9)) + 1]]
 
 
 class Sampler:
@@ -143,39 +169,62 @@ def in_blocks(texts: list[str]):
         yield begin, len(texts)
 
 
-def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Number of rows by hashed shingle, over all rows; number of rows. Tasks' tables are summed by block."""
+def many_copies(rows: DataFrame, hot: int = HOT_KEYS) -> tuple[dict[int, int], int]:
+    """Least shingle hashes that more than a hot-th of all rows share, with the number of these rows; number of rows.
+    Fewer than `hot` at any size."""
+
+    def sketch(batches):
+        shingler = Shingler()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_blocks(texts):
+                least, _ = shingler.least(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(np.ones(len(least), np.int64)), pa.array(np.zeros(len(least), np.int64))], ["least", "n", "none"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([b - a - len(least)], pa.int64())], ["least", "n", "none"])
+
+    counted = checkpoint(rows.select("text").mapInArrow(sketch, "least bigint, n bigint, none bigint").groupBy("least").agg(F.sum("n").alias("n"), F.sum("none").alias("none")))
+    total = counted.agg(F.sum(F.col("n") + F.col("none"))).first()[0] or 0
+    return {r.least: r.n for r in counted.filter(F.col("n") * hot > total).collect()}, total
+
+
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Number of rows by hashed shingle, over all rows; number of rows. Rows with the same least shingle hash, where
+    these are many, count as one together. Tasks' tables are summed by block."""
+    many, total = many_copies(rows)
+    held = rows.sparkSession.sparkContext.broadcast((np.array(sorted(many), np.int64), np.array([many[k] for k in sorted(many)], np.int64)))
 
     def count(batches):
-        shingler, table, n = Shingler(), np.zeros(1 << TABLE_BITS, np.int64), 0
+        keys, times = held.value
+        shingler, table = Shingler(), np.zeros(1 << TABLE_BITS)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            n += len(texts)
             for a, b in in_blocks(texts):
-                found, _, _ = shingler(texts[a:b])
-                table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
-        if n:
-            pack = zstandard.ZstdCompressor(level=1)
-            blocks = [pack.compress(x.tobytes()) for x in table.reshape(TABLE_BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_BLOCKS), pa.int32()), pa.array(blocks, pa.binary()), pa.array([n] + [0] * (TABLE_BLOCKS - 1), pa.int64())], ["block", "table", "n"])
+                found, _, sizes = shingler(texts[a:b])
+                part = np.ones(b - a)
+                if len(keys):
+                    least, which = shingler.least(texts[a:b])
+                    at = np.minimum(np.searchsorted(keys, least.view(np.int64)), len(keys) - 1)
+                    part[which] = np.where(keys[at] == least.view(np.int64), 1 / times[at], 1)
+                table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), np.repeat(part, sizes), minlength=1 << TABLE_BITS)
+        pack = zstandard.ZstdCompressor(level=1)
+        blocks = [pack.compress(x.astype(np.float32).tobytes()) for x in table.reshape(TABLE_BLOCKS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "table"])
 
     def add(batches):
-        sums, n = {}, 0
+        sums = {}
         for batch in batches:
-            for k, x, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64)
-                sums[k] = sums[k] + own if k in sums else own
-                n += m
+            for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.float32)
+                sums[k] = sums[k] + own if k in sums else own.astype(float)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array([n] + [0] * (len(sums) - 1), pa.int64())], ["block", "table", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "table"])
 
-    schema = "block int, table binary, n bigint"
+    schema = "block int, table binary"
     found = rows.select("text").mapInArrow(count, schema).repartition(TABLE_BLOCKS, "block").mapInArrow(add, schema).collect()  # 2 MB at any size
-    table, n = np.zeros((TABLE_BLOCKS, (1 << TABLE_BITS) // TABLE_BLOCKS), np.int64), 0
+    table = np.zeros((TABLE_BLOCKS, (1 << TABLE_BITS) // TABLE_BLOCKS))
     for r in found:
-        table[r.block] = np.frombuffer(r.table, np.int64)
-        n += r.n
-    return table.ravel(), n
+        table[r.block] = np.frombuffer(r.table, np.float64)
+    return table.ravel(), total - sum(many.values()) + len(many)
 
 
 def linked(texts: list[str], weights: Weights, shingler: Shingler, similar: float, pairs_of=None) -> np.ndarray:
@@ -286,7 +335,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     own = F.when(big, F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int")).otherwise(0)
     pilot = big & (F.pmod(F.xxhash64("node", "key"), F.col("n")) < SHARED)
     where = F.when(pilot, F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))
-    wanted = checkpoint(members.groupBy("node").agg(F.collect_list(F.struct("key", "n", where.alias("chunks"), own.alias("own"))).alias("in")))
+    wanted = checkpoint(members.groupBy("node").agg(F.collect_list(F.struct("key", "n", where.alias("chunks"))).alias("in")))
 
     def pack(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -294,14 +343,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
     packed = rows.select("row", "text").mapInArrow(pack, "node bigint, packed binary")
-    dealt = checkpoint(packed.join(wanted, "node").select("node", "packed", F.explode("in").alias("at")).select("node", "packed", "at.key", "at.n", "at.chunks", "at.own"))
+    dealt = checkpoint(packed.join(wanted, "node").select("node", "packed", F.explode("in").alias("at")).select("node", "packed", "at.key", "at.n", "at.chunks"))
     links = checkpoint(verify(dealt.withColumn("chunk", F.explode("chunks")), weights, similar))
     found = checkpoint(graph.components(links))
-    large = dealt.filter(F.col("n") > CHUNK)
+    large = dealt.filter(F.col("n") > CHUNK).select("key", "node", "packed")
     if not large.isEmpty():
         more = rest(large, found, weights, similar)
-        if not more.isEmpty():
-            found = checkpoint(graph.components(links.union(more)))
+        if more is not None and not more.isEmpty():
+            stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # the components so far
+            found = checkpoint(graph.components(stars.union(more)))
 
     named = signed.join(texts, "hash").select("id", "row", "node")
     named = named.join(found, "node", "left").select("id", "row", F.coalesce("component", "node").alias("component"))
@@ -310,18 +360,55 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     return named.join(info, "component").select(F.col("id").alias(id_col), "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"), "row")
 
 
-def rest(large: DataFrame, found: DataFrame, weights, similar: float) -> DataFrame:
-    """Links that the chunks of large buckets may have missed: every text outside its bucket's largest
-    component against all texts of the bucket, in blocks."""
-    named = checkpoint(large.join(found, "node", "left").select("key", "n", "node", "own", F.coalesce("component", "node").alias("component"), "packed"))
+def rest(large: DataFrame, found: DataFrame, weights, similar: float) -> DataFrame | None:
+    """Links that the chunks of large buckets may have missed, None if there can be none.
+
+    Texts outside their bucket's largest component are queries. They meet texts of the bucket that share a
+    shingle of their prefixes, which loses no pair of at least `similar`: a filter of fixed size keeps the shingles that
+    are in no query's prefix from being shuffled, texts that share a shingle are a group, groups with the same members are
+    one, and in a group of more than CHUNK texts blocks of queries are compared with chunks of the group.
+    """
+    spark = large.sparkSession
+    named = checkpoint(large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "packed"))
     sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    most = checkpoint(sizes.groupBy("key").agg(F.max_by("component", "m").alias("largest"), F.sum("m").alias("all"), F.max("m").alias("m")).filter("m < all").withColumn("blocks", F.ceil((F.col("all") - F.col("m")) / CHUNK).cast("int")))
-    named = named.join(most, "key")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(9)), F.col("blocks")).cast("int")
-    as_query = named.filter("component <> largest").withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: block * chunks + c)))
-    as_row = named.withColumn("chunk", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * chunks + F.col("own"))))
-    return checkpoint(verify(as_query.select("key", "chunk", "node", "packed").union(as_row.select("key", "chunk", "node", "packed")), weights, similar))
+    most = checkpoint(sizes.groupBy("key").agg(F.max_by("component", "m").alias("largest"), F.sum("m").alias("all"), F.max("m").alias("m")).filter("m < all"))
+    if most.isEmpty():
+        return None
+    named = split_join(named, most, ["key"], "all").select("key", "node", (F.col("component") != F.col("largest")).alias("query"), "packed")
+    named = checkpoint(named)
+
+    def prefixes(chosen):
+        def run(batches):
+            w, shingler, unpack = weights.value, Shingler(), zstandard.ZstdDecompressor()
+            bits = None if chosen is None else chosen.value
+            for batch in batches:
+                for key, node, query, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    sh, counts, _ = shingler([unpack.decompress(text).decode()])
+                    own = mix(w.prefix(sh, counts, similar) ^ U(key & 0xFFFFFFFFFFFFFFFF))
+                    if bits is not None:
+                        own = own[bits[(own >> U(64 - FILTER_BITS)).astype(np.int64)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(len(own), node)), pa.array(np.full(len(own), query))], ["sub", "node", "query"])
+
+        return run
+
+    kind = "sub bigint, node bigint, query boolean"
+    asked = named.filter("query").mapInArrow(prefixes(None), kind).select(F.shiftrightunsigned("sub", 64 - FILTER_BITS).cast("int").alias("bit")).distinct()
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[[r.bit for r in asked.collect()]] = True  # 2^FILTER_BITS rows at most
+    held = spark.sparkContext.broadcast(bits)  # 1 MB
+    subs = checkpoint(named.mapInArrow(prefixes(held), kind).groupBy("sub", "node").agg(F.bool_or("query").alias("query")))
+    mark = F.xxhash64("node")
+    groups = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("n"), F.count_if("query").alias("asked"), F.bit_xor(mark).alias("x"), F.sum(F.shiftrightunsigned(mark, 24)).alias("y")).filter("n > 1 AND asked > 0")
+    groups = checkpoint(groups.groupBy("n", "asked", "x", "y").agg(F.min("sub").alias("sub")).select("sub", "n", "asked"))
+    members = split_join(subs, groups, ["sub"], "n")
+    chunks, blocks = F.ceil(F.col("n") / CHUNK).cast("int"), F.ceil(F.col("asked") / CHUNK).cast("int")
+    own, block = F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int"), F.pmod(F.xxhash64("node", F.lit(9)), blocks).cast("int")
+    as_row = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: b * chunks + own)
+    as_query = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: block * chunks + c)).otherwise(F.array().cast("array<int>"))
+    wanted = checkpoint(members.groupBy("node").agg(F.collect_list(F.struct(F.col("sub").alias("key"), F.array_union(as_row, as_query).alias("chunks"))).alias("in")))
+    texts = named.groupBy("node").agg(F.any_value("packed").alias("packed"))
+    grouped = texts.join(wanted, "node").select("node", "packed", F.explode("in").alias("at")).select("node", "packed", "at.key", F.explode("at.chunks").alias("chunk"))
+    return checkpoint(verify(grouped, weights, similar))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -28,13 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import body, checkpoint, parts, ship
+from millrace.llm.common import body, checkpoint, parts, ship, split_join
 
 LENGTH, GRAM = 400, 64
 #: Different stretches of an anchor that are sorted together; bytes of one suffix sort; bytes of one anchor search.
 LARGE, SORT_BYTES = 2048, 1 << 19
-#: Keys that are broadcast are at most so many: each has more than this part of the rows.
-HOT_KEYS = 10_000
 U = np.uint64
 
 
@@ -140,18 +138,6 @@ def repeated(texts: list[bytes], length: int, starts: list[int], first: bool) ->
     return np.split(found, np.cumsum(count)[:-1])
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row a key and in `weight` the number of left's rows of the key, or fewer.
-
-    Keys with more than a HOT_KEYS-th of the weight are fewer than HOT_KEYS, so they can be broadcast; the rows
-    of left with such a key are not shuffled. No rows, or null keys, give no rows.
-    """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(right.filter(F.col(weight) * HOT_KEYS > total))
-    usual = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col(weight) * HOT_KEYS <= total), keys, how)
-    return left.join(hot, keys, how).select(*usual.columns).union(usual)
-
-
 class Anchors:
     """Anchors of all windows of a text. A text shorter than a window has none; any bytes may come, zeros as well."""
 

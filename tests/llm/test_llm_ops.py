@@ -292,13 +292,41 @@ def test_secrets_of_other_documents(spark, sf, forest):
 # ---- 6
 
 
-def similar(a, b):
-    def shingles(t):
-        w = t.lower().split()
-        return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+def shingles(t):
+    w = t.lower().split()
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
+
+def similar(a, b, idf):
     x, y = shingles(a), shingles(b)
-    return sum((x & y).values()) / sum((x | y).values())
+    return sum(n * idf(g) for g, n in (x & y).items()) / sum(n * idf(g) for g, n in (x | y).items())
+
+
+def brute_classes(texts, hot=10_000):
+    """The least index of each text's class: all pairs, with exact document frequencies. Texts that share their least shingle
+    hash, where they are many, count as one."""
+    sh = icws.Shingler()
+    least = [int(sh.least([t])[0][0]) if t and t.split() else None for t in texts]
+    times = collections.Counter(x for x in least if x is not None)
+    many = {k: n for k, n in times.items() if n * hot > len(texts)}
+    df = collections.Counter()
+    for t, x in zip(texts, least, strict=True):
+        if x is not None:
+            df.update(dict.fromkeys(shingles(t), 1 / many.get(x, 1)))
+    rows = len(texts) - sum(many.values()) + len(many)
+    idf = lambda g: 1 - np.log(min(1, max(icws.COMMON, df[g] / rows)))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = texts[i] or "", texts[j] or ""
+        if a == b or (a.split() and b.split() and similar(a, b, idf) >= 0.8 - 1e-9):
+            parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
 
 
 def test_near_dedup(spark, monkeypatch):
@@ -311,18 +339,7 @@ def test_near_dedup(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"new{k}"
         texts.append(" ".join(w))
     texts += ["", None, "a b", "a b", base[0]]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        a, b = texts[i] or "", texts[j] or ""
-        if a == b or (a and b and similar(a, b) >= 0.8):
-            parent[max(find(i), find(j))] = min(find(i), find(j))
-    want = [find(i) for i in range(len(texts))]
+    want = brute_classes(texts)
     for chunk in (512, 3):  # small chunks use the search for large buckets
         monkeypatch.setattr(icws, "CHUNK", chunk)
         got = {r.doc_id: r for r in icws.classes(docs(spark, texts)).collect()}
@@ -331,6 +348,54 @@ def test_near_dedup(spark, monkeypatch):
     assert icws.keep_one(docs(spark, texts)).columns == docs(spark, texts).columns
 
 
+def test_near_dedup_of_texts_with_a_common_passage(spark, monkeypatch):
+    """Half of all rows are most of them one passage and meet in large buckets without being alike; some have a near copy.
+    The passage weighs less than what is their own."""
+    rng = random.Random(16)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = own(120)
+    texts = [own(25) + " " + passage + " " + own(25) for _ in range(70)] + [own(90) for _ in range(70)]
+    for k in range(0, 40, 4):
+        texts.append(texts[k].replace(" ", " other ", 1))
+    want = brute_classes(texts)
+    assert len(set(want)) == 140
+    monkeypatch.setattr(icws, "CHUNK", 8)
+    got = {r.doc_id: r.class_id for r in icws.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    """A third of all rows are near copies; what they share is not taken for boilerplate."""
+    rng = random.Random(26)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = own(150), [" ".join(own(80)) for _ in range(200)]
+    for _ in range(100):
+        w = list(base)
+        for i in rng.sample(range(150), 2):
+            w[i] = own(1)[0]
+        texts.append(" ".join(w))
+    want = brute_classes(texts)
+    assert want.count(200) == 100
+    got = {r.doc_id: r.class_id for r in icws.classes(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(300)] == want
+
+
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(5)
+    w, sh = icws.Weights(rng.integers(0, 40, 1 << icws.TABLE_BITS), 60), icws.Shingler(1)
+    hit = 0
+    for _ in range(400):
+        a = [f"{x}" for x in rng.integers(0, 60, rng.integers(2, 40))]
+        b = a[: rng.integers(max(1, len(a) - 3), len(a) + 1)] + [f"{x}" for x in rng.integers(0, 60, rng.integers(0, 4))]
+        (x, n, _), (y, m, _) = sh([" ".join(a)]), sh([" ".join(b)])
+        p, q = dict(zip(x.tolist(), w(x, n), strict=True)), dict(zip(y.tolist(), w(y, m), strict=True))
+        common = sum(min(p[k], q[k]) for k in p.keys() & q.keys())
+        if common >= 0.8 * (sum(p.values()) + sum(q.values()) - common):
+            hit += 1
+            assert set(w.prefix(x, n, 0.8).tolist()) & set(w.prefix(y, m, 0.8).tolist())
+    assert hit > 50
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 330)] + [(5, 5)]
