@@ -89,6 +89,34 @@ def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment:
     return F.when(F.octet_length(text) > 0, let(text.cast("binary"), of_text)).otherwise(none)
 
 
+def chosen_by(grams: Column, last: Column, w: int = WINDOW) -> Column:
+    """Of a fingerprint, the grams that windows choose which begin at place `last` or before.
+
+    What the next window chooses is either smaller (or equal), and chosen as soon as a window reaches it, or greater, and chosen
+    when the gram before is no longer in the window. So the list alone says which window chose a gram first.
+    """
+
+    def first_window(x: Column, before: Column) -> Column:
+        return F.when(x["hash"] <= before["hash"], x["place"] - (w - 1)).otherwise(before["place"] + 1)
+
+    return F.filter(grams, lambda x, i: F.when(i == 0, 0).otherwise(first_window(x, F.get(grams, i - 1))) <= last)
+
+
+def joined(a: str, a_bytes: str, b: str, b_bytes: str, text: str, k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> Column:
+    """winnow(text) where the text is the first a_bytes bytes of a text with fingerprint a, and then the first b_bytes bytes
+    of one with fingerprint b: only windows over the seam are looked at again."""
+    window = w + k - 1
+    at, more, data = F.col(a_bytes), F.col(b_bytes), F.col(text).cast("binary")
+    tail = F.least(at, F.lit(window - 1))
+    move = lambda grams, by: F.transform(grams, lambda x: F.struct(x["hash"].alias("hash"), (x["place"] + by).alias("place")))
+    none = F.array().cast("array<struct<hash:bigint,place:bigint>>")
+    seam = F.substring(data, at - tail + 1, tail + F.least(more, F.lit(window - 1)))
+    over = F.when((at > 0) & (more > 0), move(winnow(seam, k, w, step, segment), at - tail)).otherwise(none)
+    every = F.concat(chosen_by(F.col(a), at - window, w), over, move(chosen_by(F.col(b), more - window, w), at))
+    once = let(every, lambda g: F.filter(g, lambda x, i: (i == 0) | (x["place"] != F.get(g, i - 1)["place"])))
+    return F.when(at + more < window, winnow(F.col(text), k, w, step, segment)).otherwise(once)
+
+
 def written(grams: Column) -> Column:
     """A fingerprint as text: its hashes in text order, hexadecimal, with blanks between."""
     return F.array_join(F.transform(grams, lambda x: F.lower(F.hex(x["hash"]))), " ")
@@ -156,20 +184,21 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     next document (by descending id, cyclically) begins with; likeness to that and to the next document, and the
     places of the chosen grams of both.
 
-    One shuffle deals the texts by ranges of ids; the fingerprint of each text is made once, after it. A
-    single row is its own next. An empty table gives no rows. df must be a table or another input that gives
+    One shuffle deals the texts by ranges of ids; the fingerprint of each text is made once, after it, and that of the edited
+    text is put together from those of its two halves' texts, with the windows over the seam looked at again. A single row is its own next. An empty table gives no rows. df must be a table or another input that gives
     the same rows in the same order when read twice.
     """
     n = parts(df.sparkSession)
     rows = with_next(df, id_col, text_col, n * RANGES_A_PARTITION).withColumn("_n_part", F.col("_n_range") % n).repartitionById(n, "_n_part")
-    rows = rows.withColumn("_n_fp", winnow(F.col("_n_text"), k, w, step, segment)).withColumn("_n_set", hashes(F.col("_n_fp")))
+    rows = rows.withColumn("_n_fp", winnow(F.col("_n_text"), k, w, step, segment))
     order = Window.partitionBy("_n_part", "_n_range").orderBy("_n_copy", "_n_key")
-    rows = rows.withColumns({"_n_next": F.lead("_n_text").over(order), "_n_next_set": F.lead("_n_set").over(order)}).filter(~F.col("_n_copy"))
+    rows = rows.withColumns({"_n_next": F.lead("_n_text").over(order), "_n_next_fp": F.lead("_n_fp").over(order)}).filter(~F.col("_n_copy"))
     chars = F.char_length("_n_text")
     half = F.floor(chars / 2).cast("int")
-    new = F.concat(F.substring("_n_text", F.lit(1), chars - half), F.substring("_n_next", F.lit(1), half))
-    rows = rows.select("_n_id", chars.cast("bigint").alias("n_chars"), "_n_fp", "_n_set", "_n_next_set", new.alias("_n_new"))
-    rows = rows.withColumn("_n_new_fp", winnow(F.col("_n_new"), k, w, step, segment)).withColumn("_n_new_set", hashes(F.col("_n_new_fp")))
+    rows = rows.withColumns({"n_chars": chars.cast("bigint"), "_n_head": F.substring("_n_text", F.lit(1), chars - half), "_n_tail": F.substring("_n_next", F.lit(1), half)})
+    rows = rows.select("_n_id", "n_chars", "_n_fp", "_n_next_fp", F.octet_length("_n_head").alias("_n_at"), F.octet_length("_n_tail").alias("_n_more"), F.concat("_n_head", "_n_tail").alias("_n_new"))
+    rows = rows.withColumn("_n_new_fp", joined("_n_fp", "_n_at", "_n_next_fp", "_n_more", "_n_new", k, w, step, segment))
+    rows = rows.withColumns({"_n_set": hashes(F.col("_n_fp")), "_n_next_set": hashes(F.col("_n_next_fp")), "_n_new_set": hashes(F.col("_n_new_fp"))})
     return rows.select(
         F.col("_n_id").alias(id_col),
         "n_chars",
