@@ -13,11 +13,14 @@ weighted Jaccard similarity of the texts themselves decides, by a search that vi
 buckets are searched in chunks that share some members. Texts that this leaves outside the bucket's largest component
 meet the others by prefixes: of the rarest shingles of a text, those that make up a fifth of its weight. Two texts whose
 similarity reaches 0.8 share a shingle of their prefixes, so texts are only compared with those of the
-bucket that have one of theirs; what is common in a bucket is in no prefix. Links become classes by connected components.
+bucket that have one of theirs; what is common in a bucket is in no prefix. (A bucket with no more than CHUNK of them is read
+once, against all of them.) Links become classes by connected components.
 """
 
 from __future__ import annotations
 
+import array
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -35,7 +38,7 @@ COMMON = 0.1
 POOL_BITS = 14
 #: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers, bits of the filter of prefixes.
 CHUNK, SHARED, MEMORY_WORDS, FILTER_BITS = 256, 8, 200_000, 20
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 U = np.uint64
 
 
@@ -45,53 +48,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+class Words(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def least_hashes(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least scrambled hash of each run of shingles that is not empty."""
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    return np.minimum.reduceat(mix(shingles ^ U(0x9E3779B97F4A7C15)), starts) if len(starts) else np.empty(0, U)
+
+
 class Shingler:
     """Shingle hashes of texts; words are runs without white space, lower-case."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.words = size, {}
+        self.size, self.words = size, Words()
         self.factors = mix(np.arange(1, size + 1, dtype=U)) | U(1)
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles of all texts in text order, and the text that each is of."""
-        import xxhash
-
+        """Shingles of all texts in text order, and how many each text has. A text of fewer words than a shingle is one."""
         if len(self.words) > MEMORY_WORDS:
             self.words.clear()
-        known, flat, lens = self.words, [], []
+        flat, ends = array.array("Q"), []
+        known = self.words.__getitem__
         for t in texts:
-            own = t.lower().split()
-            lens.append(len(own))
-            for w in own:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                flat.append(h)
-        flat = np.array(flat, U)
-        lens = np.array(lens, np.int64)
-        first = np.cumsum(lens) - lens
+            flat.extend(map(known, t.lower().split()))
+            ends.append(len(flat))
+        flat = np.append(np.frombuffer(flat, U), np.zeros(self.size - 1, U))
+        ends = np.array(ends, np.int64)
+        lens = np.diff(ends, prepend=0)
         n = np.where(lens > 0, np.maximum(lens - self.size + 1, 1), 0)
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        place, left = first[owner] + at, lens[owner] - at
-        h = np.zeros(len(at), U)
+        total = int(ends[-1]) if len(ends) else 0
+        every = np.zeros(total, U)  # at each word, whatever texts the next words are of
         for j in range(self.size):
-            on = left > j
-            h[on] += flat[place[on] + j] * self.factors[j]
-        return mix(h), owner
-
-    def least(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The least shingle hash of each text that has shingles, and which texts these are."""
-        h, owner = self.grams(texts)
-        if not len(h):
-            return np.empty(0, U), np.empty(0, np.int64)
-        new = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        return np.minimum.reduceat(mix(h ^ U(0x9E3779B97F4A7C15)), new), owner[new]
+            every += flat[j : j + total] * self.factors[j]
+        place = np.repeat(ends - lens, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        h = every[place]
+        short = np.flatnonzero((lens > 0) & (lens < self.size))
+        for j in range(1, self.size):  # take the words of the next texts out again
+            over = short[lens[short] <= j]
+            h[(np.cumsum(n) - n)[over]] -= flat[(ends - lens)[over] + j] * self.factors[j]
+        return mix(h), n
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles of all texts in one array (ascending in each text), their counts, how many each text has."""
-        h, owner = self.grams(texts)
-        order = np.lexsort((h, owner))
+        h, n = self.grams(texts)
+        owner = np.repeat(np.arange(len(texts), dtype=np.uint16 if len(texts) < 1 << 16 else np.int64), n)
+        order = np.argsort(h, kind="stable")
+        order = order[np.argsort(owner[order], kind="stable")]
         h, owner = h[order], owner[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
@@ -147,12 +157,16 @@ class Sampler:
         logs = np.log(weights[odd])
         low = shingles & U(0xFFFFFFFF)
         keys = np.zeros((len(starts), BANDS), U)
+        spot, v = np.empty(len(shingles), U), np.empty(len(shingles), U)
+        at = spot.view(np.int64)
         for j in range(BANDS * ROWS):
-            at = ((shingles * self.factors[j]) >> U(64 - POOL_BITS)).astype(np.int64)
-            v = self.table[j][at]
+            np.multiply(shingles, self.factors[j], out=spot)
+            np.right_shift(spot, U(64 - POOL_BITS), out=spot)
+            np.take(self.table[j], at, out=v, mode="clip")  # all are inside; clip spares a copy
             if len(odd):
                 v[odd] = self.value(j, at[odd], logs)
-            least = np.minimum.reduceat(v | low, starts)
+            np.bitwise_or(v, low, out=v)
+            least = np.minimum.reduceat(v, starts)
             band = j // ROWS
             keys[:, band] = mix(keys[:, band] * U(0x9E3779B97F4A7C15) + least + U(band + 1))
         return keys.view(np.int64)
@@ -178,7 +192,7 @@ def many_copies(rows: DataFrame, hot: int = HOT_KEYS) -> tuple[dict[int, int], i
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in in_blocks(texts):
-                least, _ = shingler.least(texts[a:b])
+                least = least_hashes(*shingler.grams(texts[a:b]))
                 yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(np.ones(len(least), np.int64)), pa.array(np.zeros(len(least), np.int64))], ["least", "n", "none"])
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([b - a - len(least)], pa.int64())], ["least", "n", "none"])
 
@@ -202,9 +216,9 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
                 found, _, sizes = shingler(texts[a:b])
                 part = np.ones(b - a)
                 if len(keys):
-                    least, which = shingler.least(texts[a:b])
+                    least = least_hashes(found, sizes)
                     at = np.minimum(np.searchsorted(keys, least.view(np.int64)), len(keys) - 1)
-                    part[which] = np.where(keys[at] == least.view(np.int64), 1 / times[at], 1)
+                    part[sizes > 0] = np.where(keys[at] == least.view(np.int64), 1 / times[at], 1)
                 table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), np.repeat(part, sizes), minlength=1 << TABLE_BITS)
         pack = zstandard.ZstdCompressor(level=1)
         blocks = [pack.compress(x.astype(np.float32).tobytes()) for x in table.reshape(TABLE_BLOCKS, -1)]
@@ -363,8 +377,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 def rest(large: DataFrame, found: DataFrame, weights, similar: float) -> DataFrame | None:
     """Links that the chunks of large buckets may have missed, None if there can be none.
 
-    Texts outside their bucket's largest component are queries. They meet texts of the bucket that share a
-    shingle of their prefixes, which loses no pair of at least `similar`: a filter of fixed size keeps the shingles that
+    Texts outside their bucket's largest component are queries. Up to CHUNK queries are compared with each chunk of their
+    bucket, which is read once. More of them meet only texts of the bucket that share a shingle of their prefixes, which loses no pair of at least `similar`: a filter of fixed size keeps the shingles that
     are in no query's prefix from being shuffled, texts that share a shingle are a group, groups with the same members are
     one, and in a group of more than CHUNK texts blocks of queries are compared with chunks of the group.
     """
@@ -374,8 +388,15 @@ def rest(large: DataFrame, found: DataFrame, weights, similar: float) -> DataFra
     most = checkpoint(sizes.groupBy("key").agg(F.max_by("component", "m").alias("largest"), F.sum("m").alias("all"), F.max("m").alias("m")).filter("m < all"))
     if most.isEmpty():
         return None
-    named = split_join(named, most, ["key"], "all").select("key", "node", (F.col("component") != F.col("largest")).alias("query"), "packed")
+    named = split_join(named, most, ["key"], "all").select("key", "node", (F.col("component") != F.col("largest")).alias("query"), "packed", "all", (F.col("all") - F.col("m")).alias("asked"))
     named = checkpoint(named)
+    chunks = F.ceil(F.col("all") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int")
+    few = named.filter(F.col("asked") <= CHUNK).withColumn("chunk", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(own))))
+    more = verify(few, weights, similar)
+    named = named.filter(F.col("asked") > CHUNK).select("key", "node", "query", "packed")
+    if named.isEmpty():
+        return checkpoint(more)
 
     def prefixes(chosen):
         def run(batches):
@@ -408,7 +429,7 @@ def rest(large: DataFrame, found: DataFrame, weights, similar: float) -> DataFra
     wanted = checkpoint(members.groupBy("node").agg(F.collect_list(F.struct(F.col("sub").alias("key"), F.array_union(as_row, as_query).alias("chunks"))).alias("in")))
     texts = named.groupBy("node").agg(F.any_value("packed").alias("packed"))
     grouped = texts.join(wanted, "node").select("node", "packed", F.explode("in").alias("at")).select("node", "packed", "at.key", F.explode("at.chunks").alias("chunk"))
-    return checkpoint(verify(grouped, weights, similar))
+    return checkpoint(more.union(verify(grouped, weights, similar)))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -306,7 +306,7 @@ def brute_classes(texts, hot=10_000):
     """The least index of each text's class: all pairs, with exact document frequencies. Texts that share their least shingle
     hash, where they are many, count as one."""
     sh = icws.Shingler()
-    least = [int(sh.least([t])[0][0]) if t and t.split() else None for t in texts]
+    least = [int(icws.least_hashes(*sh.grams([t]))[0]) if t and t.split() else None for t in texts]
     times = collections.Counter(x for x in least if x is not None)
     many = {k: n for k, n in times.items() if n * hot > len(texts)}
     df = collections.Counter()
