@@ -36,6 +36,8 @@ TABLE_BITS, TABLE_BLOCKS = 18, 64
 #: Share of rows below which all shingles weigh the same.
 COMMON = 0.1
 POOL_BITS = 14
+#: Distance of weights that draw alike, and up to which level their draws are kept in tables (4 MB each).
+STEP, TABLES = 0.25, 12
 #: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers, bits of the filter of prefixes.
 CHUNK, SHARED, MEMORY_WORDS, FILTER_BITS = 256, 8, 200_000, 20
 BLOCK_CHARS = 1 << 18
@@ -115,7 +117,6 @@ class Weights:
     def __init__(self, table: np.ndarray, rows: float):
         self.share = (table / max(rows, 1)).astype(np.float32)
         self.idf = 1 - np.log(np.clip(self.share, COMMON, 1).astype(float))
-        self.usual = float(1 - np.log(COMMON))
 
     def cell(self, shingles: np.ndarray) -> np.ndarray:
         return (shingles >> U(64 - TABLE_BITS)).astype(np.int64)
@@ -132,39 +133,48 @@ class Weights:
 
 
 class Sampler:
-    def __init__(self, usual: float):
+    """Consistent weighted samples. Weights are taken to the next of a grid, STEP apart in their logarithm, so what a shingle
+    draws comes from a table of its weight's level; the similarity that decides afterwards has the weights themselves."""
+
+    def __init__(self):
         rng = np.random.default_rng(20)
         n = BANDS * ROWS
         self.r = rng.gamma(2, 1, (n, 1 << POOL_BITS))
         self.c = np.log(rng.gamma(2, 1, (n, 1 << POOL_BITS)))
         self.b = rng.random((n, 1 << POOL_BITS))
         self.factors = mix(np.arange(101, 101 + n, dtype=U)) | U(1)
-        self.usual = usual
-        self.table = np.stack([self.value(j, np.arange(1 << POOL_BITS), np.log(usual)) for j in range(n)])
+        self.tables = {}
 
-    def value(self, j: int, at: np.ndarray, log_weight) -> np.ndarray:
-        """ln a of Ioffe's sampling as the high half of a number that sorts in the same order."""
+    def draws(self, j, at, level: int) -> np.ndarray:
+        """ln a of Ioffe's sampling as a number that sorts in the same order."""
         r, b = self.r[j][at], self.b[j][at]
-        t = np.floor(log_weight / r + b)
+        t = np.floor(level * STEP / r + b)
         bits = (self.c[j][at] - r * (t - b) - r).astype(np.float32).view(np.uint32)
-        bits = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
-        return bits.astype(U) << U(32)
+        return np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
+
+    def table(self, level: int) -> np.ndarray:
+        if level not in self.tables:
+            self.tables[level] = np.stack([self.draws(j, slice(None), level) for j in range(BANDS * ROWS)])
+        return self.tables[level]
 
     def bands(self, shingles: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """BANDS keys for each text that has shingles."""
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        odd = np.flatnonzero(np.abs(weights - self.usual) > 1e-9)
-        logs = np.log(weights[odd])
+        levels = np.maximum(np.rint(np.log(weights) / STEP), 0).astype(np.int64)
+        found, times = np.unique(levels, return_counts=True)
+        most = int(found[np.argmax(times)]) if len(found) and found[np.argmax(times)] <= TABLES else 0
+        others = [(int(x), np.flatnonzero(levels == x)) for x in found if x != most]
         low = shingles & U(0xFFFFFFFF)
         keys = np.zeros((len(starts), BANDS), U)
-        spot, v = np.empty(len(shingles), U), np.empty(len(shingles), U)
+        spot, draw, v = np.empty(len(shingles), U), np.empty(len(shingles), np.uint32), np.empty(len(shingles), U)
         at = spot.view(np.int64)
         for j in range(BANDS * ROWS):
             np.multiply(shingles, self.factors[j], out=spot)
             np.right_shift(spot, U(64 - POOL_BITS), out=spot)
-            np.take(self.table[j], at, out=v, mode="clip")  # all are inside; clip spares a copy
-            if len(odd):
-                v[odd] = self.value(j, at[odd], logs)
+            np.take(self.table(most)[j], at, out=draw, mode="clip")  # all are inside; clip spares a copy
+            for level, which in others:
+                draw[which] = self.table(level)[j][at[which]] if level <= TABLES else self.draws(j, at[which], level)
+            np.left_shift(draw, U(32), out=v)
             np.bitwise_or(v, low, out=v)
             least = np.minimum.reduceat(v, starts)
             band = j // ROWS
@@ -323,7 +333,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     def sign(batches):
         w, shingler = weights.value, Shingler()
-        sampler = Sampler(w.usual)
+        sampler = Sampler()
         for batch in batches:
             texts, begun = batch.column(0).to_pylist(), 0
             for a, b in in_blocks(texts):
