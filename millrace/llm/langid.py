@@ -151,11 +151,11 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, **how) -> Model | None:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, fragments: tuple[int, ...] = FRAGMENTS, **how) -> Model | None:
     """A model of the labelled rows that are not held out; None if there are none.
 
     About sample_rows rows are learned from (the same expected number of each language, all if it has
-    fewer), chosen by a hash of the text. Of each only fragments of fixed lengths come to the driver, so
+    fewer), chosen by a hash of the text. Of each only fragments of the lengths in `fragments` come to the driver, so
     what is gathered is bounded by sample_rows times a kilobyte or two, however long the texts are.
     """
     rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull()).select(body(text_col).alias("_x_text"), F.col(lang_col).cast("string").alias("_x_lang"))
@@ -168,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     key = F.xxhash64(F.lit(5), "_x_text")
     rows = rows.withColumn("_x_key", key).filter(F.pmod("_x_key", F.lit(1 << 20)) < share * (1 << 20))
     n = F.char_length("_x_text")
-    cut = [F.substring("_x_text", (F.pmod(F.xxhash64(F.lit(size), "_x_key"), F.greatest(n - size, F.lit(0)) + 1) + 1).cast("int"), F.lit(size)) for size in FRAGMENTS]
+    cut = [F.substring("_x_text", (F.pmod(F.xxhash64(F.lit(size), "_x_key"), F.greatest(n - size, F.lit(0)) + 1) + 1).cast("int"), F.lit(size)) for size in fragments]
     found = sorted(tuple(r) for r in rows.select(F.pmod("_x_key", F.lit(1 << 40)).alias("k"), "_x_lang", *cut).distinct().collect())
     texts = [(t, lang, k) for k, lang, *own in found for t in own]
     return train(*(list(x) for x in zip(*texts, strict=True)), **how) if texts else None

@@ -87,37 +87,51 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     if cut is not None:
         for turn in range(repeats):
             finish = (F.col("upto") + turn * F.col("source_size")) / F.col("target")
-            here = F.struct(finish.alias("a"), F.col("source_key").alias("b"), F.lit(turn).alias("c"), F.col("order").alias("d"), F.col("row").alias("e"))
-            last = F.struct(*(F.lit(v).cast(t).alias(a) for a, v, t in zip("abcde", cut, ("double", "string", "int", "bigint", "bigint"), strict=True)))
+            here = F.struct(finish.alias("a"), F.col("order").alias("b"), F.col("source_key").alias("c"), F.lit(turn).alias("d"), F.col("row").alias("e"))
+            last = F.struct(*(F.lit(v).cast(t).alias(a) for a, v, t in zip("abcde", cut, ("double", "bigint", "string", "int", "bigint"), strict=True)))
             times = times + F.when((F.col("size") > 0) & (F.col("target") > 0) & (here <= last), 1).otherwise(0)
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", times.cast("bigint").alias("times"), (F.col("size") * times).cast("bigint").alias("taken"), "row")
 
 
-def cut_at(every: DataFrame, budget: float) -> tuple | None:
-    """(finish, source_key, turn, order, row) of the last copy within the budget; None if none is."""
-    low, high = every.agg(F.min("finish"), F.max("finish")).first()
-    if low is None:
-        return None
-    spent, inside = 0, every
+def narrowed(rows: DataFrame, by: str, spent: int, budget: float) -> tuple[DataFrame, object, object, int]:
+    """The rows of the range of `by` in which the budget is spent, that range's ends, and what is spent before it. The
+    range is narrowed by histograms of CUTS parts until it has few rows or one value."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    inside = rows
     while True:
-        width = (high - low) / CUTS
-        if width <= 0 or low + width <= low:
-            break
-        at = F.least(F.floor((F.col("finish") - low) / width), F.lit(CUTS - 1)).cast("int")
-        counts = sorted(inside.groupBy(at.alias("at")).agg(F.sum("size"), F.count(F.lit(1)), F.min("finish"), F.max("finish")).collect())
+        width = (float(high) - float(low)) / CUTS
+        if width <= 0 or float(low) + width <= float(low):
+            return inside, low, high, spent
+        at = F.greatest(F.least(F.floor((F.col(by).cast("double") - float(low)) / width), F.lit(CUTS - 1)), F.lit(0)).cast("int")
+        counts = sorted(inside.groupBy(at.alias("at")).agg(F.sum("size"), F.count(F.lit(1)), F.min(by), F.max(by)).collect())  # CUTS rows
         for k, (_, size, n, first, last) in enumerate(counts):
             if spent + size > budget or k == len(counts) - 1:
                 break
             spent += size
-        inside = every.filter(F.col("finish").between(first, last))
+        inside = rows.filter(F.col(by).between(first, last))
         if n <= ROWS_A_RANGE or (first, last) == (low, high):
-            break
+            return inside, first, last, spent
         low, high = first, last
-    by = ["finish", "source_key", "turn", "order", "row"]
+
+
+def cut_at(every: DataFrame, budget: float) -> tuple | None:
+    """(finish, order, source_key, turn, row) of the last copy within the budget; None if none is.
+
+    Sources of one document finish at the same time, so a finish time may have as many copies as there are sources; they are
+    in order of their hash, and that range is narrowed as well.
+    """
+    if every.isEmpty():
+        return None
+    inside, first, last, spent = narrowed(every, "finish", 0, budget)
+    before = F.col("finish") < first
+    if first == last and inside.count() > ROWS_A_RANGE:
+        inside, least, _, spent = narrowed(inside, "order", spent, budget)
+        before = before | ((F.col("finish") == first) & (F.col("order") < least))
+    by = ["finish", "order", "source_key", "turn", "row"]
     inside = inside.withColumn("total", F.sum("size").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
     within = inside.filter(F.col("total") + spent <= budget).orderBy(*(F.col(c).desc() for c in by)).select(*by).first()
     if within is None:  # the last one before this range
-        within = every.filter(F.col("finish") < first).orderBy(*(F.col(c).desc() for c in by)).select(*by).first() if spent else None
+        within = every.filter(before).orderBy(*(F.col(c).desc() for c in by)).select(*by).first() if spent else None
     return tuple(within) if within else None
 
 

@@ -446,6 +446,15 @@ def test_mixing(spark):
     assert mixing.take(docs(spark, texts, sources)).count() == sum(r.times for r in got.values())
 
 
+def test_mixing_of_sources_that_finish_together(spark, monkeypatch):
+    """Sources of one document, all of one size and weight: every first copy finishes at one time, every second at another."""
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 10)
+    texts, sources = ["a b c"] * 300, [f"s{k}" for k in range(300)]
+    got = {r.doc_id: r.taken for r in mixing.mix(docs(spark, texts, sources), weights=(1,), share=1.25).collect()}
+    assert set(got.values()) <= {0, 3, 6} and abs(sum(got.values()) - 1.25 * 900) <= 3
+    assert got == {r.doc_id: r.taken for r in mixing.mix(docs(spark, texts, sources).repartition(5), weights=(1,), share=1.25).collect()}
+
+
 # ---- 8
 
 
@@ -557,6 +566,44 @@ def test_oracle(spark, sf, name):
     assert differences(spark, sf, llm.queries()[name], llm.oracle_sql()[name], database(sf)) == ""
 
 
+def test_very_long_texts(spark):
+    """One text of some megabytes among short ones, past every block's edge."""
+    import public_tokenizers
+    import sentencepiece
+
+    rng = random.Random(44)
+    words = [f"w{rng.randrange(5000)}" for _ in range(700_000)]
+    words[600_000:600_200] = words[100:300]  # far apart, and in another text too
+    long = " ".join(words)
+    texts = [long, " ".join(words[100:300]), "x" * 100_000, None, long[:-1] + "y"]
+    df = docs(spark, texts)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.n_tokens for r in piece_codec.transcode(df, piece_codec.default_model(), digests=True).select("doc_id", "n_tokens").collect()} == {i: len(sp.encode(t or "")) + 2 for i, t in enumerate(texts)}
+    want = [len(b) for b in ((t or "").encode() for t in texts)]
+    got = {r.doc_id: r for r in repeats.remove(df, keep="none", spans=False).collect()}
+    assert [got[i].n_bytes for i in range(5)] == want and got[0].n_removed >= want[0] - 1 and got[1].n_removed == want[1] and got[2].n_removed == want[2] and got[3].n_removed == 0
+    same = {r.doc_id: r.class_id for r in icws.classes(df).collect()}
+    assert same[0] == same[4] == 0 and len(set(same.values())) == 4
+    assert {r.doc_id: len(r.fingerprint) > 0 for r in winnow.edited(df).collect()} == {0: True, 1: True, 2: True, 3: False, 4: True}
+    assert {r.doc_id: r["size"] for r in mixing.mix(df).collect()} == {i: len((t or "").split()) for i, t in enumerate(texts)}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and ids; and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(45)
+    langs = {"xx": "ka ri mo ta ne shi".split(), "yy": "schl ung eit ber ver".split()}
+    rows = [(k, " ".join("".join(rng.choice(langs[x]) for _ in range(2)) for _ in range(40)), x, "s1") for k in range(60) for x in (rng.choice(sorted(langs)),)]
+    rows += [(None, rows[0][1], None, None), (None, None, None, None), (3, "", "xx", "s1"), (3, None, "yy", None), rows[5], rows[5], (70, rows[6][1], None, "s1")]
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(*r, None) for r in rows], kind).coalesce(2).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {r.doc_id for r in got} <= {*range(60), 70, None} and len({r.ids_sha256 for r in got}) <= 60 and len(got) >= 60
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
@@ -569,3 +616,16 @@ def test_pipeline(spark, sf):
     assert kept.columns == source.columns and kept.count() >= 0.98 * source.count()
     once = corpus_pipeline.exact_dedup(spark, source, sf)
     assert once.columns == source.columns and once.count() == source.select("text").distinct().count()
+    rows = source.collect()
+    classes = brute_classes([r.text for r in rows])
+    near = corpus_pipeline.near_dedup(spark, source, sf)
+    assert near.columns == source.columns and sorted(r.doc_id for r in near.collect()) == sorted(min(r.doc_id for r, c in zip(rows, classes, strict=True) if c == x) for x in set(classes))
+    mixed = corpus_pipeline.source_mix(spark, source, sf)
+    times = {r.doc_id: r.times for r in mixing.mix(source).collect()}
+    assert mixed.columns == source.columns and collections.Counter(r.doc_id for r in mixed.collect()) == {k: n for k, n in times.items() if n}
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    coded = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.tokenize(spark, source, sf).collect()}
+    assert coded == {r.doc_id: sha(np.array(sp.encode(r.text or "", add_bos=True, add_eos=True), "<u4").tobytes()) for r in rows}
