@@ -39,31 +39,36 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def gram_hashes(data: Column, k: int = K) -> Column:
-    """Hash of the k bytes (k a multiple of four) at each place of a binary; one hash of all where there are fewer than k."""
+def gram_hashes(data: Column, k: int = K, mark: Callable[[Column, Column], Column] = lambda h, i: h) -> Column:
+    """mark(hash, place) of the k bytes (k a multiple of four, at least eight) at each place of a binary; one hash of all where there
+    are fewer than k."""
     n = F.octet_length(data)
-    short = F.array((F.crc32(data) * BASE + n) % PRIME)
+    short = F.array(mark((F.crc32(data) * BASE + n) % PRIME, F.lit(0)))
     symbols = F.transform(F.sequence(F.lit(1), F.greatest(n - (SYMBOL - 1), F.lit(1))), lambda i: F.crc32(F.substring(data, i, F.lit(SYMBOL))))
 
     def rolled(v: Column, i: Column) -> Column:
-        total = F.get(v, i)
-        for j in range(SYMBOL, k, SYMBOL):
+        total = F.get(v, i) * BASE + F.get(v, i + SYMBOL)  # below 2^47, so the next product fits as it is
+        for j in range(2 * SYMBOL, k, SYMBOL):
             total = (total * BASE + F.get(v, i + j)) % PRIME
-        return total
+        return total if k > 2 * SYMBOL else total % PRIME
 
-    return F.when(n < k, short).otherwise(let(symbols, lambda v: F.transform(F.sequence(F.lit(0), n - k), lambda i: rolled(v, i))))
+    return F.when(n < k, short).otherwise(let(symbols, lambda v: F.transform(F.sequence(F.lit(0), n - k), lambda i: mark(rolled(v, i), i))))
 
 
-def chosen(hashes: Column, w: int = WINDOW, step: int = STEP) -> Column:
-    """Packed hash and place of the least hash of each window of w hashes, once where windows that follow each other
-    choose the same; fewer than w hashes are one window. w is step times step, and places are below 2^PLACE_BITS."""
+def marked(h: Column, i: Column) -> Column:
+    """Hash and place in one number, of which the least is the smallest hash and of equals the rightmost."""
+    return F.shiftleft(h, PLACE_BITS) + (LAST_PLACE - i)
+
+
+def chosen(grams: Column, w: int = WINDOW, step: int = STEP) -> Column:
+    """The least of the marked hashes of each window of w, once where windows that follow each other choose the same; fewer
+    than w are one window. w is step times step, and places are below 2^PLACE_BITS."""
     if step * step != w:
         raise ValueError("w has to be step * step")
-    marked = F.transform(hashes, lambda h, i: F.shiftleft(h, PLACE_BITS) + (LAST_PLACE - i))
     near = lambda a: F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in range(1, step))))
     windows = lambda a, n: F.transform(F.sequence(F.lit(0), F.greatest(n - w, F.lit(0))), lambda i: F.least(*(F.get(a, i + j) for j in range(0, w, step))))
     once = lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1)))
-    return let(let(let(marked, near), lambda a: windows(a, F.size(a))), once)
+    return let(let(let(grams, near), lambda a: windows(a, F.size(a))), once)
 
 
 def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> Column:
@@ -76,7 +81,7 @@ def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment:
     def of_segment(data: Column, s: Column) -> Column:
         begin = s * segment
         own = F.substring(data, begin + 1, F.lit(segment + w + k - 2))
-        found = let(own, lambda b: let(gram_hashes(b, k), lambda h: chosen(h, w, step)))
+        found = let(own, lambda b: chosen(gram_hashes(b, k, marked), w, step))
         return F.transform(found, lambda x: F.struct(F.shiftright(x, PLACE_BITS).alias("hash"), (begin + LAST_PLACE - x.bitwiseAND(LAST_PLACE)).cast("bigint").alias("place")))
 
     def of_text(data: Column) -> Column:
@@ -149,7 +154,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFra
 
     Null ids come last. Rows with the same id are in order of their text's hash, then of their place in df; as rows
     equal in both have the same text, that last order changes no result, and it lets the bounds of ranges fall inside
-    any number of rows of one id. Bounds are rows of df: of LOOKS_A_RANGE * ranges rows, picked by the hash of their place.
+    any number of rows of one id. Bounds are rows of df: of about LOOKS_A_RANGE * ranges rows, picked by the hash of their place.
     They only decide how rows are dealt, so any pick is right, and each bound is its range's first row. They go to the tasks as one
     row of arrays (some 40 bytes a range).
     """
@@ -158,8 +163,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFra
     key = F.struct(F.col(id_col).isNull().alias("z"), F.coalesce(F.bitwise_not(F.col(id_col).cast("bigint")), F.lit(0)).alias("k"), F.xxhash64("_n_text").alias("h"), F.col("_n_row").alias("r"))
     rows = df.select(F.col(id_col), body(text_col).alias("_n_text"), F.monotonically_increasing_id().alias("_n_row"))
     rows = rows.select(F.col(id_col).alias("_n_id"), "_n_text", key.alias("_n_key"))
-    least = rows.agg(F.min("_n_key")).first()[0]
-    seen = rows.select("_n_key").orderBy(F.xxhash64("_n_key.r")).limit(LOOKS_A_RANGE * ranges).collect() if least else []
+    least, n = rows.agg(F.min("_n_key"), F.count(F.lit(1))).first()
+    looked = int(LOOKS_A_RANGE * ranges / max(n, 1) * (1 << 40))
+    seen = rows.select("_n_key").filter(F.pmod(F.xxhash64("_n_key.r"), F.lit(1 << 40)) < looked).collect() if least else []
     seen = sorted({tuple(r[0]) for r in seen} - {tuple(least or ())})
     bounds = ([tuple(least)] if least else []) + seen[:: max(1, -(-len(seen) // ranges))]
     width = max(1, round(len(bounds) ** 0.5))
