@@ -55,7 +55,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, lowered), np.int64, len(texts)))
     codes = np.where(_LETTER[0][codes], codes, 0).astype(np.uint32)
     on = np.ones(len(codes), bool)
-    on[1:] = (codes[1:] != 0) | (codes[:-1] != 0)  # one boundary between words
+    on[1:] = (codes[1:] != 0) | (codes[:-1] != 0) | (owner[1:] != owner[:-1])  # one boundary between words, and each text's own
     codes, owner = codes[on], owner[on]
     letter = codes != 0
     found, of = [], []

@@ -490,6 +490,38 @@ def test_language_id_held_out(spark, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.95
 
 
+def plain_scores(model, text):
+    """Probabilities from the model's numbers, gram by gram; None if the text has no letters."""
+    spaced = "".join(c if c.isalpha() else "\0" for c in f" {text.lower()} ")
+    spaced = re.sub("\0+", "\0", spaced)
+    total, n = np.zeros(len(model.languages)), 0
+    for i in range(len(spaced)):
+        for size in range(1, langid.LONGEST + 1):
+            gram = spaced[i : i + size]
+            if len(gram) < size or "\0" in gram[1:-1] or (gram[0] == "\0" and gram[-1] == "\0"):
+                continue
+            h = 0
+            for k, c in enumerate(gram, 1):
+                h = (h * 0x01000193 + ord(c) + (k * 0x9E3779B1 & 0xFFFFFFFF)) & 0xFFFFFFFF
+            total += model.votes[((h ^ (h >> 15)) * 0x85EBCA6B & 0xFFFFFFFF) >> 17]
+            n += 1
+    if not n:
+        return None
+    z = np.exp((total / n + model.bias) / model.temperature)
+    return z / z.sum()
+
+
+def test_language_scores_are_averages_of_subwords():
+    rng = random.Random(10)
+    texts = [prose(rng, n) for n in (1, 3, 40)] + ["Ünïté d'été", "漢字 かな", "a", "a1b", "\x00a", "İstanbul", "a  -  b", "12", "", "x" * 500]
+    model = langid.train(texts[:5] * 4, ["p", "q", "p", "r", "q"] * 4, list(range(20)))
+    p, counts = langid.scores(model, texts)
+    for i, t in enumerate(texts):
+        want = plain_scores(model, t)
+        assert (counts[i] == 0) == (want is None)
+        assert np.allclose(p[i], 0 if want is None else want, atol=1e-4)
+
+
 # ---- 9
 
 
