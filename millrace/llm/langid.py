@@ -7,7 +7,9 @@ labelled rows. The layers being linear, a bucket's share in every language's sco
 matrix, so prediction is a gather and a segmented sum over the whole text.
 
 Calibration: a temperature is fitted on sampled documents held out of the descent, so scores are
-probabilities; below the score that all but a small part of their fragments exceed, a text is rejected.
+probabilities; below the score that all but a small part of their fragments of its length exceed, a text
+is rejected. Lengths are classes of the number of subwords, by powers of four: a few words of a learned
+language may score little more than chance, so short texts have a low level and long ones a high one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BUCKETS, WIDTH, LONGEST = 1 << 15, 16, 4
 #: Lengths in characters of the fragments that one sampled document gives, at places chosen by its hash.
 FRAGMENTS = (8, 24, 96, 400)
 BLOCK_CHARS = 1 << 20
+#: Classes of length, and the fragments of one class from which on it has a level of its own.
+CLASSES, LEAST = 12, 400
 
 
 @dataclass
@@ -34,7 +38,29 @@ class Model:
     votes: np.ndarray  # a bucket's share in each language's score
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    levels: np.ndarray  # per class of length: texts that score less are rejected
+
+    def level(self, counts: np.ndarray) -> np.ndarray:
+        return self.levels[length_class(counts)]
+
+
+def length_class(counts: np.ndarray) -> np.ndarray:
+    """floor(log4(number of subwords)), 0 for none."""
+    return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) // 2, CLASSES - 1)
+
+
+def levels(top: np.ndarray, counts: np.ndarray, keep: float, least: int = LEAST) -> np.ndarray:
+    """Per class of length the score that a share keep of its fragments exceeds.
+
+    A class with fewer than `least` fragments takes the level of the next shorter class that has enough, or
+    of all fragments if none has; no class has a higher level than a longer one.
+    """
+    found, now, at = np.empty(CLASSES), np.quantile(top, 1 - keep), length_class(counts)
+    for c in range(CLASSES):
+        if (at == c).sum() >= least:
+            now = np.quantile(top[at == c], 1 - keep)
+        found[c] = now
+    return np.minimum.accumulate(found[::-1])[::-1]
 
 
 def _letters() -> np.ndarray:
@@ -131,7 +157,7 @@ def train(texts: list[str], labels: list[str], keys: list[int], epochs: int = 6,
             bias -= lr * 0.1 * p
             embed[at] -= lr * len(at) ** 0.5 * share * back
             step += 1
-    model = Model(languages, (embed @ out).astype(np.float32), bias.astype(np.float32), 1.0, 0.0)
+    model = Model(languages, (embed @ out).astype(np.float32), bias.astype(np.float32), 1.0, np.zeros(CLASSES))
     check = np.flatnonzero(held & (n > 0)) if (held & (n > 0)).any() else rows
     if len(check):
         own = [texts[i] for i in check]
@@ -142,7 +168,7 @@ def train(texts: list[str], labels: list[str], keys: list[int], epochs: int = 6,
             loss.append(-np.log(np.maximum(p[np.arange(len(check)), y[check]], 1e-9)).mean())
         model.temperature = float(grid[int(np.argmin(loss))])
         p, _ = scores(model, own)
-        model.reject_below = float(np.quantile(p.max(1), 1 - keep))
+        model.levels = levels(p.max(1), n[check], keep)
     return model
 
 
@@ -178,7 +204,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """id, lang_pred, score, rejected, then the columns in keep.
 
     lang_pred is `und`, score 0 and rejected true if text is null or has no letters, or if there is no
-    model. With reject, texts with a score under the calibrated one are `und` too. Whole texts are read,
+    model. With reject, texts with a score under the level of their length are `und` too. Whole texts are read,
     however long; rows are independent, so repeated and null ids are as they are.
     """
     spark = df.sparkSession
@@ -195,7 +221,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             if m is not None and n:
                 p, counts = scores(m, batch.column(1).to_pylist())
                 score = p.max(1)
-                out = (counts == 0) | (score < m.reject_below)
+                out = (counts == 0) | (score < m.level(counts))
                 lang = np.array([*m.languages, UNKNOWN], object)[np.where(counts == 0, len(m.languages), p.argmax(1))]
                 if reject:
                     lang[out] = UNKNOWN
@@ -221,7 +247,7 @@ def keep_known(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             if m is None or not batch.num_rows:
                 continue
             p, counts = scores(m, [t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array((counts > 0) & (p.max(1) >= m.reject_below)))
+            yield batch.filter(pa.array((counts > 0) & (p.max(1) >= m.level(counts))))
 
     return inner.mapInArrow(run, inner.schema).toDF(*names)
 

@@ -522,6 +522,29 @@ def test_language_scores_are_averages_of_subwords():
         assert np.allclose(p[i], 0 if want is None else want, atol=1e-4)
 
 
+def test_levels_by_length():
+    rng = np.random.default_rng(3)
+    counts = np.array([5] * 10 + [20] * 1000 + [300] * 1000 + [5000] * 50)
+    top = np.concatenate([np.full(10, 0.2), rng.uniform(0.4, 1, 1000), rng.uniform(0.9, 1, 1000), np.full(50, 0.99)])
+    got = langid.levels(top, counts, 0.99)
+    assert len(got) == langid.CLASSES and (np.diff(got) >= 0).all()
+    assert np.isclose(got[2], np.quantile(top[10:1010], 0.01)) and np.isclose(got[4], np.quantile(top[1010:2010], 0.01))
+    assert got[1] <= got[2] == got[3] < got[4] == got[-1]  # too few fragments: the next shorter class's
+    assert len(set(langid.levels(top[:50], counts[:50], 0.99))) == 1
+    assert langid.length_class(np.array([0, 1, 3, 4, 15, 16, 4**9, 4**15])).tolist() == [0, 0, 0, 1, 1, 2, 9, langid.CLASSES - 1]
+
+
+def test_language_not_learned_is_rejected(spark, sf):
+    """Rows of one language lose their label: the model never sees it, and its long texts go; others stay."""
+    all_docs = spark.read.parquet(f"{sf.rstrip('/').rsplit('/', 1)[0]}/sf0.1/documents.parquet")
+    truth = {r.doc_id: (r.lang, r.n) for r in all_docs.select("doc_id", "lang", F.length(F.regexp_replace("text", "[^A-Za-z]", "")).alias("n")).collect()}
+    kept = {r.doc_id for r in langid.keep_known(all_docs.withColumn("lang", F.expr("nullif(lang, 'de')"))).select("doc_id").collect()}
+    long = {i for i, (lang, n) in truth.items() if lang == "de" and n >= 400}
+    other = {i for i, (lang, n) in truth.items() if lang not in ("de", None) and n}
+    assert len(long) > 1000 and len(long - kept) >= 0.95 * len(long)
+    assert len(other) > 7000 and len(other & kept) >= 0.995 * len(other)
+
+
 # ---- 9
 
 
