@@ -6,8 +6,10 @@ which closes all windows; that row's results are taken out again.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import itertools
+import shutil
 import socket
 import tempfile
 import threading
@@ -223,8 +225,11 @@ def s14_table_options(spark, d):
     return r.read("t", options={"sep": "|"})
 
 
-def derby(name: str = "") -> str:
-    return f"jdbc:derby:memory:{name or 'm' + uuid.uuid4().hex};create=true"
+def derby() -> str:
+    """A new database of the driver, in a folder of its own until the driver ends."""
+    path = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, path, True)
+    return f"jdbc:derby:{path}/db;create=true"
 
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -233,7 +238,7 @@ DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 @query("SELECT n_nationkey, n_name FROM nation")
 def s15_jdbc_scan(spark, d):
     url = derby()
-    table(spark, d, "nation").select("n_nationkey", "n_name").write.format("jdbc").options(url=url, dbtable="t_nation", **DERBY).save()
+    K.jdbc_append(table(spark, d, "nation").select("n_nationkey", "n_name"), url, "t_nation", **DERBY)
     return S.jdbc(spark, url, "t_nation", ("n_nationkey", 0, 25, 2), **DERBY)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
+from millrace.session import shared_folder
+from millrace.sources import jvm_jdbc
+
 EVENT = "user STRING, url STRING, ts BIGINT"
 SENSOR = "id STRING, vc INT, ts BIGINT"
 WORD_COUNT = "word STRING, count BIGINT"
@@ -282,7 +286,10 @@ def kafka_values(df: DataFrame, schema: str, fmt: str = "csv", facts: tuple[str,
 
 
 def jdbc(spark: SparkSession, url: str, name: str, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
-    """A database table. split (numeric column, low, high, tasks) reads it in that many tasks."""
+    """A database table. split (numeric column, low, high, tasks) reads it in that many tasks. An embedded database that
+    executors can't reach is read by the driver, by one cursor, into files of the shared folder: its rows at the time of the call."""
+    if jvm_jdbc.only_in_driver(spark, url):
+        return jvm_jdbc.copy(spark, url, name, options, f"{shared_folder(spark)}/jdbc-{uuid.uuid4().hex}")
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     if split:
         column, low, high, n = split

@@ -51,6 +51,10 @@ def kafka_sink(df: DataFrame, servers: str, topic: str, checkpoint: str, key: st
 
 
 def jdbc_append(df: DataFrame, url: str, name: str, batch: int = 1000, **options) -> None:
+    """Appends to a database table, which is made if it is missing. Executors write; the driver does where only it has the database."""
+    if jvm_jdbc.only_in_driver(df.sparkSession, url):
+        jvm_jdbc.append(df, url, name, {"batchsize": str(batch)} | options)
+        return
     df.write.format("jdbc").options(url=url, dbtable=name, batchsize=str(batch), **options).mode("append").save()
 
 
