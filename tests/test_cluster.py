@@ -16,6 +16,7 @@ from millrace.sources import jvm_jdbc
 
 NAMES = (
     "s15_jdbc_scan",
+    "s16_jdbc_lookup_join",
 )
 RUN = """
 import json, sys
