@@ -17,6 +17,7 @@ from millrace.sources import jvm_jdbc
 NAMES = (
     "s15_jdbc_scan",
     "s16_jdbc_lookup_join",
+    "k9_jdbc_append",
 )
 RUN = """
 import json, sys
