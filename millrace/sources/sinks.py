@@ -133,7 +133,7 @@ class Upsert:
             else:  # with the column types of the stored table
                 like = f"LIKE {self.name}" if self.dialect == "mysql" else f"AS SELECT * FROM {self.name} WITH NO DATA"
                 jvm_jdbc.run(connection, f"CREATE TABLE {staging} {like}")
-            df.write.format("jdbc").options(url=self.url, dbtable=staging, **self.options).mode("append").save()
+            jdbc_append(df, self.url, staging, **self.options)
             connection.setAutoCommit(False)
             try:
                 jvm_jdbc.run(connection, self.statement(df.columns, staging))

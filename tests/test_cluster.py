@@ -18,6 +18,7 @@ NAMES = (
     "s15_jdbc_scan",
     "s16_jdbc_lookup_join",
     "k9_jdbc_append",
+    "k10_jdbc_upsert",
 )
 RUN = """
 import json, sys
