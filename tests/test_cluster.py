@@ -19,6 +19,7 @@ NAMES = (
     "s16_jdbc_lookup_join",
     "k9_jdbc_append",
     "k10_jdbc_upsert",
+    "k11_jdbc_adding_upsert",
 )
 RUN = """
 import json, sys
