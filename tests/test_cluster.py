@@ -20,6 +20,7 @@ NAMES = (
     "k9_jdbc_append",
     "k10_jdbc_upsert",
     "k11_jdbc_adding_upsert",
+    "k12_jdbc_table_upsert",
 )
 RUN = """
 import json, sys
