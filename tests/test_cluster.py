@@ -21,6 +21,7 @@ NAMES = (
     "k10_jdbc_upsert",
     "k11_jdbc_adding_upsert",
     "k12_jdbc_table_upsert",
+    "m11_late_correction",
 )
 RUN = """
 import json, sys
