@@ -41,6 +41,8 @@ STEP, TABLES = 0.25, 12
 #: Texts of one chunk of a bucket, members that all chunks of a bucket share, words that a task remembers, bits of the filter of prefixes.
 CHUNK, SHARED, MEMORY_WORDS, FILTER_BITS = 256, 8, 200_000, 20
 BLOCK_CHARS = 1 << 18
+#: Rows with a frequent least hash that are named to the tasks one by one (8 MB).
+LISTED = 1_000_000
 U = np.uint64
 
 
@@ -193,46 +195,33 @@ def in_blocks(texts: list[str]):
         yield begin, len(texts)
 
 
-def many_copies(rows: DataFrame, hot: int = HOT_KEYS) -> tuple[dict[int, int], int]:
-    """Least shingle hashes that more than a hot-th of all rows share, with the number of these rows; number of rows.
-    Fewer than `hot` at any size."""
-
-    def sketch(batches):
-        shingler = Shingler()
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in in_blocks(texts):
-                least = least_hashes(*shingler.grams(texts[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(np.ones(len(least), np.int64)), pa.array(np.zeros(len(least), np.int64))], ["least", "n", "none"])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([b - a - len(least)], pa.int64())], ["least", "n", "none"])
-
-    counted = checkpoint(rows.select("text").mapInArrow(sketch, "least bigint, n bigint, none bigint").groupBy("least").agg(F.sum("n").alias("n"), F.sum("none").alias("none")))
-    total = counted.agg(F.sum(F.col("n") + F.col("none"))).first()[0] or 0
-    return {r.least: r.n for r in counted.filter(F.col("n") * hot > total).collect()}, total
+def document_frequencies(rows: DataFrame, hot: int = HOT_KEYS, listed: int = LISTED) -> tuple[np.ndarray, float]:
+    """Number of rows by hashed shingle, over all rows; number of rows. Rows with the same least shingle hash, where these
+    are more than a hot-th of all rows (so fewer than `hot` hashes at any size), count as one row together.
 
+    Each text is read once, for its shingles and its least hash; what rows with a frequent least hash count too much is
+    taken off in a second pass over these rows (over all rows, where they are more than `listed`). Tasks' tables are
+    summed by block.
+    """
+    spark = rows.sparkSession
 
-def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Number of rows by hashed shingle, over all rows; number of rows. Rows with the same least shingle hash, where
-    these are many, count as one together. Tasks' tables are summed by block."""
-    many, total = many_copies(rows)
-    held = rows.sparkSession.sparkContext.broadcast((np.array(sorted(many), np.int64), np.array([many[k] for k in sorted(many)], np.int64)))
+    def tables(table):
+        pack = zstandard.ZstdCompressor(level=1)
+        return [pack.compress(x.astype(np.float32).tobytes()) for x in table.reshape(TABLE_BLOCKS, -1)]
 
     def count(batches):
-        keys, times = held.value
         shingler, table = Shingler(), np.zeros(1 << TABLE_BITS)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, begun = batch.column(0).to_pylist(), 0
             for a, b in in_blocks(texts):
                 found, _, sizes = shingler(texts[a:b])
-                part = np.ones(b - a)
-                if len(keys):
-                    least = least_hashes(found, sizes)
-                    at = np.minimum(np.searchsorted(keys, least.view(np.int64)), len(keys) - 1)
-                    part[sizes > 0] = np.where(keys[at] == least.view(np.int64), 1 / times[at], 1)
-                table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), np.repeat(part, sizes), minlength=1 << TABLE_BITS)
-        pack = zstandard.ZstdCompressor(level=1)
-        blocks = [pack.compress(x.astype(np.float32).tobytes()) for x in table.reshape(TABLE_BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "table"])
+                table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), minlength=1 << TABLE_BITS)
+                least = np.zeros(b - a, np.int64)
+                least[sizes > 0] = least_hashes(found, sizes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(begun, b - a), pa.array(least, mask=sizes == 0), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], names)
+                begun = b
+        none = pa.nulls(TABLE_BLOCKS, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(range(TABLE_BLOCKS), pa.int32()), pa.array(tables(table), pa.binary())], names)
 
     def add(batches):
         sums = {}
@@ -243,12 +232,40 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, float]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "table"])
 
-    schema = "block int, table binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition(TABLE_BLOCKS, "block").mapInArrow(add, schema).collect()  # 2 MB at any size
-    table = np.zeros((TABLE_BLOCKS, (1 << TABLE_BITS) // TABLE_BLOCKS))
-    for r in found:
-        table[r.block] = np.frombuffer(r.table, np.float64)
-    return table.ravel(), total - sum(many.values()) + len(many)
+    def summed(blocks: DataFrame) -> np.ndarray:
+        table = np.zeros((TABLE_BLOCKS, (1 << TABLE_BITS) // TABLE_BLOCKS))
+        for r in blocks.repartition(TABLE_BLOCKS, "block").mapInArrow(add, schema).collect():  # 2 MB at any size
+            table[r.block] = np.frombuffer(r.table, np.float64)
+        return table.ravel()
+
+    schema, names = "block int, table binary", ["row", "least", "block", "table"]
+    counted = checkpoint(rows.select("text", "row").mapInArrow(count, f"row bigint, least bigint, {schema}"))
+    table = summed(counted.filter("block IS NOT NULL").select("block", "table"))
+    total = counted.filter("block IS NULL").count()
+    often = checkpoint(counted.filter("least IS NOT NULL").groupBy("least").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("n") * hot > total)))
+    many = {r.least: r.n for r in often.collect()}
+    if not many:
+        return table, total
+    held = spark.sparkContext.broadcast((np.array(sorted(many), np.int64), np.array([many[k] for k in sorted(many)], np.int64)))
+
+    def excess(batches):
+        keys, times = held.value
+        shingler, table = Shingler(), np.zeros(1 << TABLE_BITS)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in in_blocks(texts):
+                found, _, sizes = shingler(texts[a:b])
+                least, part = least_hashes(found, sizes).view(np.int64), np.zeros(b - a)
+                at = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
+                part[sizes > 0] = np.where(keys[at] == least, 1 - 1 / times[at], 0)
+                table += np.bincount((found >> U(64 - TABLE_BITS)).astype(np.int64), np.repeat(part, sizes), minlength=1 << TABLE_BITS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_BLOCKS), pa.int32()), pa.array(tables(table), pa.binary())], ["block", "table"])
+
+    chosen = rows.select("text", "row")
+    if sum(many.values()) <= listed:
+        own = counted.join(F.broadcast(often.select("least")), "least", "left_semi").select("row")  # least: fewer than `hot`
+        chosen = chosen.join(F.broadcast(own), "row", "left_semi")
+    return table - summed(chosen.select("text").mapInArrow(excess, schema)), total - sum(many.values()) + len(many)
 
 
 def linked(texts: list[str], weights: Weights, shingler: Shingler, similar: float, pairs_of=None) -> np.ndarray:

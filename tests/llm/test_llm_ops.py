@@ -302,6 +302,32 @@ def similar(a, b, idf):
     return sum(n * idf(g) for g, n in (x & y).items()) / sum(n * idf(g) for g, n in (x | y).items())
 
 
+def test_document_frequencies_read_each_text_once(spark):
+    words = [f"w{k}" for k in range(40)]
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=9)) for _ in range(60)] + ["", None, " "]
+    copies = texts + [texts[0]] * 5 + [texts[0] + f" tail{k}" for k in range(9)]
+    for given, hot, listed in ((texts, 4, 100), (copies, 10, 100), (copies, 10, 3), (copies, 10_000, 100)):
+        seen = spark.sparkContext.accumulator(0)
+
+        def look(t, seen=seen):
+            seen.add(1)
+            return t or ""
+
+        df = docs(spark, given).select(F.udf(look)("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+        table, rows = icws.document_frequencies(df, hot, listed)
+        sh = icws.Shingler()
+        least = [int(icws.least_hashes(*sh.grams([t]))[0]) if t and t.split() else None for t in given]
+        many = {k: n for k, n in collections.Counter(x for x in least if x is not None).items() if n > 1 and n * hot > len(given)}
+        want = np.zeros(1 << icws.TABLE_BITS)
+        for t, x in zip(given, least, strict=True):
+            if x is not None:
+                want += np.bincount((sh([t])[0] >> np.uint64(64 - icws.TABLE_BITS)).astype(int), minlength=len(want)) / many.get(x, 1)
+        assert np.allclose(table, want, atol=1e-5) and rows == len(given) - sum(many.values()) + len(many)
+        if not many:
+            assert seen.value == len(given)
+
+
 def brute_classes(texts, hot=10_000):
     """The least index of each text's class: all pairs, with exact document frequencies. Texts that share their least shingle
     hash, where they are many, count as one."""
