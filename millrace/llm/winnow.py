@@ -10,8 +10,11 @@ Of every W neighbouring grams the one with the smallest hash is chosen, the righ
 place are packed in one number, the place counting down in the low bits, so one minimum decides both. Two texts
 that share K + W - 1 bytes share a chosen gram, and the kept places say where.
 
+Every window holds a whole block of W / 2 grams, so what it chooses is not above that block's least. About a tenth
+of the grams are left by that, and among them the chosen ones are found by neighbours (chosen()).
+
 Long texts are worked on in segments that overlap by a window, one after the other, so a task holds arrays of
-one segment; places are counted over the whole text.
+one segment, small enough for a core's cache; places are counted over the whole text.
 """
 
 from __future__ import annotations
@@ -23,20 +26,20 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import body, parts
 
-K, STEP, WINDOW = 16, 6, 36
+K, WINDOW = 16, 36
 SYMBOL = 4
 #: A prime below 2^47 and a base below 2^15, so products fit in a long (fixed values).
 PRIME, BASE = (1 << 47) - 115, 28_657
 #: Windows of one segment; a place in a segment needs PLACE_BITS.
-SEGMENT, PLACE_BITS = 1 << 15, 16
+SEGMENT, PLACE_BITS = 1 << 12, 16
 LAST_PLACE = (1 << PLACE_BITS) - 1
 #: Ranges of ids for each shuffle partition, and rows that are looked at to find the bounds of one.
 RANGES_A_PARTITION, LOOKS_A_RANGE = 2, 8
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """use(value) with the value computed once. The sum over no elements starts from it; a transform would copy the result."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, use)
 
 
 def gram_hashes(data: Column, k: int = K, mark: Callable[[Column, Column], Column] = lambda h, i: h) -> Column:
@@ -60,18 +63,44 @@ def marked(h: Column, i: Column) -> Column:
     return F.shiftleft(h, PLACE_BITS) + (LAST_PLACE - i)
 
 
-def chosen(grams: Column, w: int = WINDOW, step: int = STEP) -> Column:
+def chosen(grams: Column, w: int = WINDOW) -> Column:
     """The least of the marked hashes of each window of w, once where windows that follow each other choose the same; fewer
-    than w are one window. w is step times step, and places are below 2^PLACE_BITS."""
-    if step * step != w:
-        raise ValueError("w has to be step * step")
-    near = lambda a: F.transform(a, lambda x, i: F.least(x, *(F.get(a, i + j) for j in range(1, step))))
-    windows = lambda a, n: F.transform(F.sequence(F.lit(0), F.greatest(n - w, F.lit(0))), lambda i: F.least(*(F.get(a, i + j) for j in range(0, w, step))))
-    once = lambda c: F.filter(c, lambda x, i: (i == 0) | (x != F.get(c, i - 1)))
-    return let(let(let(grams, near), lambda a: windows(a, F.size(a))), once)
+    than w are one window. Places are below 2^PLACE_BITS.
+
+    A gram is left out if it is above the least of its own block of w / 2 and of both blocks beside it, as each window has
+    one of the three in it, or if it lies before what the first window chooses or behind what the last one does. Of the rest
+    one that is above both its neighbours is in no window without one of them, unless they are more than w places apart:
+    it goes. What goes has a smaller one on either side, so the nearest smaller ones of those that stay are never lost, and when
+    nothing more goes the chosen ones are left. Each turn takes at least the greatest of any that have to go between two
+    smaller ones, so w - 1 turns are enough; the turns end with the first that changes nothing.
+    """
+    size = max(1, w // 2)
+
+    def low(a: Column, n: Column) -> Column:
+        block = lambda i: F.slice(a, i * size + 1, F.lit(size))
+        least = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda i: F.array_min(block(i)))
+        below = lambda i, top: F.filter(block(i), lambda x: x <= top)
+        return let(least, lambda m: F.flatten(F.transform(m, lambda x, i: let(F.greatest(x, F.get(m, i - 1), F.get(m, i + 1)), lambda top: below(i, top)))))
+
+    def between(a: Column, n: Column) -> Column:
+        place = lambda x: x.bitwiseAND(LAST_PLACE)  # noqa: E731  counts down
+        first, last = F.array_min(F.slice(a, 1, w)), F.array_min(F.slice(a, F.greatest(n - w, F.lit(0)) + 1, F.lit(w)))
+        return let(place(first), lambda f: let(place(last), lambda t: F.filter(low(a, n), lambda x: (place(x) <= f) & (place(x) >= t))))
+
+    def fewer(c: Column) -> Column:
+        def goes(x: Column, i: Column) -> Column:
+            before, after = F.get(c, i - 1), F.get(c, i + 1)
+            return (before < x) & (after < x) & (before.bitwiseAND(LAST_PLACE) - after.bitwiseAND(LAST_PLACE) <= w)
+
+        return F.filter(c, lambda x, i: ~F.coalesce(goes(x, i), F.lit(False)))
+
+    state = lambda c, done: F.struct(c.alias("c"), done.alias("done"))
+    turn = lambda s, _: F.when(s["done"], s).otherwise(let(fewer(s["c"]), lambda c: state(c, F.size(c) == F.size(s["c"]))))
+    turns = F.sequence(F.lit(1), F.lit(max(1, w - 1)))
+    return let(grams, lambda a: F.aggregate(turns, state(between(a, F.size(a)), F.lit(False)), turn, lambda s: s["c"]))
 
 
-def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> Column:
+def winnow(text: Column, k: int = K, w: int = WINDOW, segment: int = SEGMENT) -> Column:
     """The chosen grams of a text in text order: array of (hash, place), place in bytes from 0.
 
     Null and empty text have none: an empty array. A text of fewer than k bytes is one gram, one of fewer
@@ -81,7 +110,7 @@ def winnow(text: Column, k: int = K, w: int = WINDOW, step: int = STEP, segment:
     def of_segment(data: Column, s: Column) -> Column:
         begin = s * segment
         own = F.substring(data, begin + 1, F.lit(segment + w + k - 2))
-        found = let(own, lambda b: chosen(gram_hashes(b, k, marked), w, step))
+        found = let(own, lambda b: chosen(gram_hashes(b, k, marked), w))
         return F.transform(found, lambda x: F.struct(F.shiftright(x, PLACE_BITS).alias("hash"), (begin + LAST_PLACE - x.bitwiseAND(LAST_PLACE)).cast("bigint").alias("place")))
 
     def of_text(data: Column) -> Column:
@@ -107,7 +136,7 @@ def chosen_by(grams: Column, last: Column, w: int = WINDOW) -> Column:
     return F.filter(grams, lambda x, i: F.when(i == 0, 0).otherwise(first_window(x, F.get(grams, i - 1))) <= last)
 
 
-def joined(a: str, a_bytes: str, b: str, b_bytes: str, text: str, k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> Column:
+def joined(a: str, a_bytes: str, b: str, b_bytes: str, text: str, k: int = K, w: int = WINDOW, segment: int = SEGMENT) -> Column:
     """winnow(text) where the text is the first a_bytes bytes of a text with fingerprint a, and then the first b_bytes bytes
     of one with fingerprint b: only windows over the seam are looked at again."""
     window = w + k - 1
@@ -116,10 +145,10 @@ def joined(a: str, a_bytes: str, b: str, b_bytes: str, text: str, k: int = K, w:
     move = lambda grams, by: F.transform(grams, lambda x: F.struct(x["hash"].alias("hash"), (x["place"] + by).alias("place")))
     none = F.array().cast("array<struct<hash:bigint,place:bigint>>")
     seam = F.substring(data, at - tail + 1, tail + F.least(more, F.lit(window - 1)))
-    over = F.when((at > 0) & (more > 0), move(winnow(seam, k, w, step, segment), at - tail)).otherwise(none)
+    over = F.when((at > 0) & (more > 0), move(winnow(seam, k, w, segment), at - tail)).otherwise(none)
     every = F.concat(chosen_by(F.col(a), at - window, w), over, move(chosen_by(F.col(b), more - window, w), at))
     once = let(every, lambda g: F.filter(g, lambda x, i: (i == 0) | (x["place"] != F.get(g, i - 1)["place"])))
-    return F.when(at + more < window, winnow(F.col(text), k, w, step, segment)).otherwise(once)
+    return F.when(at + more < window, winnow(F.col(text), k, w, segment)).otherwise(once)
 
 
 def written(grams: Column) -> Column:
@@ -139,12 +168,12 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(common / either)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """id, hashes, places and the written fingerprint of each row. Cases as in winnow().
 
     Rows are independent: repeated and null ids are kept as they are, other columns are not read.
     """
-    rows = df.select(F.col(id_col), winnow(body(text_col), k, w, step, segment).alias("_x_fp"))
+    rows = df.select(F.col(id_col), winnow(body(text_col), k, w, segment).alias("_x_fp"))
     return rows.select(id_col, F.transform("_x_fp", lambda x: x["hash"]).alias("hashes"), F.transform("_x_fp", lambda x: x["place"]).alias("places"), written(F.col("_x_fp")).alias("fingerprint"))
 
 
@@ -185,7 +214,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFra
     return rows.select("_n_id", "_n_text", "_n_key", dealt.alias("_n_to")).select("_n_id", "_n_text", "_n_key", F.col("_n_to.copy").alias("_n_copy"), F.col("_n_to.range").alias("_n_range"))
 
 
-def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, step: int = STEP, segment: int = SEGMENT) -> DataFrame:
+def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = WINDOW, segment: int = SEGMENT) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last floor(n/2) characters are those that the
     next document (by descending id, cyclically) begins with; likeness to that and to the next document, and the
     places of the chosen grams of both.
@@ -196,14 +225,14 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """
     n = parts(df.sparkSession)
     rows = with_next(df, id_col, text_col, n * RANGES_A_PARTITION).withColumn("_n_part", F.col("_n_range") % n).repartitionById(n, "_n_part")
-    rows = rows.withColumn("_n_fp", winnow(F.col("_n_text"), k, w, step, segment))
+    rows = rows.withColumn("_n_fp", winnow(F.col("_n_text"), k, w, segment))
     order = Window.partitionBy("_n_part", "_n_range").orderBy("_n_copy", "_n_key")
     rows = rows.withColumns({"_n_next": F.lead("_n_text").over(order), "_n_next_fp": F.lead("_n_fp").over(order)}).filter(~F.col("_n_copy"))
     chars = F.char_length("_n_text")
     half = F.floor(chars / 2).cast("int")
     rows = rows.withColumns({"n_chars": chars.cast("bigint"), "_n_head": F.substring("_n_text", F.lit(1), chars - half), "_n_tail": F.substring("_n_next", F.lit(1), half)})
     rows = rows.select("_n_id", "n_chars", "_n_fp", "_n_next_fp", F.octet_length("_n_head").alias("_n_at"), F.octet_length("_n_tail").alias("_n_more"), F.concat("_n_head", "_n_tail").alias("_n_new"))
-    rows = rows.withColumn("_n_new_fp", joined("_n_fp", "_n_at", "_n_next_fp", "_n_more", "_n_new", k, w, step, segment))
+    rows = rows.withColumn("_n_new_fp", joined("_n_fp", "_n_at", "_n_next_fp", "_n_more", "_n_new", k, w, segment))
     rows = rows.withColumns({"_n_set": hashes(F.col("_n_fp")), "_n_next_set": hashes(F.col("_n_next_fp")), "_n_new_set": hashes(F.col("_n_new_fp"))})
     return rows.select(
         F.col("_n_id").alias(id_col),

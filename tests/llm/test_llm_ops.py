@@ -107,6 +107,20 @@ def test_fingerprints(spark, monkeypatch):
         assert got[i].near_edited == pytest.approx(like(sets[i], {h for h, _ in brute}))
 
 
+
+def test_chosen_grams_of_any_window(spark):
+    """Ties, runs that fall or rise through whole windows, and lists shorter than one, beside every window's least."""
+    rng = random.Random(12)
+    rows = [list(range(90)), list(range(90, 0, -1)), [7] * 90, [abs(k % 70 - 35) for k in range(200)], [35 - abs(k % 70 - 35) for k in range(200)], [1], [2, 1]]
+    rows += [[rng.randrange(top) for _ in range(rng.randint(1, 150))] for top in (2, 5, 40, 1 << 40) for _ in range(25)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, h array<bigint>")
+    for w in (1, 2, 5, 35, 36):
+        got = dict(df.select("k", winnow.chosen(F.transform("h", winnow.marked), w)).collect())
+        for k, r in enumerate(rows):
+            at = [min(range(i, min(i + w, len(r))), key=lambda j: (r[j], -j)) for i in range(max(1, len(r) - w + 1))]
+            assert got[k] == [(r[j] << winnow.PLACE_BITS) + winnow.LAST_PLACE - j for j in sorted(set(at))], (w, k)
+
+
 def test_next_document_of_repeated_and_null_ids(spark):
     """Rows of one id are in order of their text's hash; all of them may have one id, and ranges divide them."""
     texts = [f"text {k % 7}" for k in range(40)]
