@@ -626,6 +626,24 @@ def test_suffix_dedup(spark, length, gram, large, keep):
         assert sum(b - a for a, b in got[i].removed) == w[1]
 
 
+def test_suffix_dedup_of_a_table_that_is_split_anew(spark, tmp_path):
+    """Files are split by the number of cores at the time of a read, and executors come and go."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abc ") for _ in range(900)) for _ in range(12)]
+    texts = [rng.choice(base)[rng.randint(0, 400) :] + str(i) * rng.randint(0, 500) for i in range(48)]
+    docs(spark, texts).repartition(12, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_removal([t.encode() for t in texts], 400, False)
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(cores, "12")
+        df = repeats.op9_suffix_dedup(spark, str(tmp_path))
+        spark.conf.set(cores, "1")
+        got = {r.doc_id: r for r in df.collect()}
+    finally:
+        spark.conf.unset(cores)
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(48)] == want
+
+
 # ---- 10
 
 
